@@ -73,7 +73,16 @@ def _grouped(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
     light = written(verified_recipes(rows, "text", **how), "recipes").withColumn("order", row_order())
     groups = light.groupBy("_recipe").agg(F.min("key").alias("keep_id"), F.min("order").alias("first"), F.count("*").alias("group_size"))
-    return light.join(groups, "_recipe").withColumn("kept", F.col("order") == F.col("first"))
+    # Written, so that the join has an exchange of its own on each side and can split the copies of a popular text.
+    groups = written(groups.where("group_size > 1"), "groups")
+    return light.join(groups, "_recipe", "left").select(
+        "key",
+        "rid",
+        "_sha",
+        F.when(F.col("group_size").isNull(), F.col("key")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("order") == F.col("first"), F.lit(True)).alias("kept"),
+    )
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, mixing, packing, simhash, toxicity
+from graphloom.llm import exact_dedup, html_extract, mixing, packing, permutation_index, simhash, toxicity, warc
 from graphloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,14 +44,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_salvage": op1,
     "op2_simhash_anchor_covering": op2,
     "op4_toxicity_ftrl": op4,
     "op5_mixing_soft_membership": op5,
+    "op6_ann_permutation_index": op6,
     "op8_packing_cutting_stock": op8,
     "op9_exact_dedup_chunk_recipes": op9,
+    "op10_html_template_deduction": op10,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_salvage": warc.OP1_SQL,
     "op9_exact_dedup_chunk_recipes": exact_dedup.OP9_SQL,
 }
