@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, html_extract, mixing, packing, permutation_index, simhash, toxicity, warc
+from graphloom.llm import exact_dedup, html_extract, mixing, packing, permutation_index, pii, secrets, simhash, toxicity, warc
 from graphloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,9 +59,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_salvage": op1,
     "op2_simhash_anchor_covering": op2,
+    "op3_secrets_random_forest": op3,
     "op4_toxicity_ftrl": op4,
     "op5_mixing_soft_membership": op5,
     "op6_ann_permutation_index": op6,
+    "op7_pii_surrogates": op7,
     "op8_packing_cutting_stock": op8,
     "op9_exact_dedup_chunk_recipes": op9,
     "op10_html_template_deduction": op10,
