@@ -1,14 +1,494 @@
-"""The registered queries of the reference operators and their SQL twins."""
+"""The registered queries of the code-graph operators and their DuckDB twins, over facts projected from the given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import paths
+from graphloom.operators import diff, findings, graph, history, link, metrics, reach, search
+from graphloom.sources.projection import facts, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None, recursive: bool = False):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = twin(sql.strip(), recursive)
+        return f
+
+    return register
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Package and directory dependencies that import each other."""
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return link.cycles(link.rollup_edges(imports, files))
+
+
+EDGES = """edges AS (SELECT file_id AS src, target_file_id AS dst, count(*) AS weight,
+  CASE WHEN min(CASE WHEN is_type_only THEN 1 ELSE 0 END) = 0 THEN 'imports' ELSE 'references' END AS type
+  FROM imports WHERE target_file_id IS NOT NULL AND file_id <> target_file_id GROUP BY 1, 2)"""
+CALLS = """made AS (SELECT *, row_number() OVER (PARTITION BY caller_symbol_id, target_symbol_id ORDER BY file_id, end_offset, id) AS k,
+  count(*) OVER (PARTITION BY caller_symbol_id, target_symbol_id) AS weight FROM calls
+  WHERE target_symbol_id IS NOT NULL AND resolution <> 'unresolved' AND caller_symbol_id <> target_symbol_id),
+call_edges AS (SELECT caller_symbol_id AS src, target_symbol_id AS dst, line, call_kind, resolution AS confidence, weight FROM made WHERE k = 1)"""
+ROLLUPS = """pairs AS (SELECT i.is_type_only, a.dir_path d1, b.dir_path d2, a.package p1, b.package p2 FROM imports i
+  JOIN files a ON i.file_id = a.id AND a.role = 'source' JOIN files b ON i.target_file_id = b.id AND b.role = 'source'),
+levels AS (SELECT 'directory' AS level, is_type_only, d1 AS src, d2 AS dst FROM pairs UNION ALL SELECT 'package', is_type_only, p1, p2 FROM pairs),
+rollups AS (SELECT level, CASE WHEN is_type_only THEN 'references' ELSE 'imports' END AS type, src, dst, count(*) AS weight FROM levels WHERE src <> dst GROUP BY 1, 2, 3, 4)"""
+DIRS = """up AS (SELECT package AS path, '.' AS parent, 1 AS depth, loc, complexity, role FROM files
+  UNION ALL SELECT dir_path, package, 2, loc, complexity, role FROM files),
+dirs AS (SELECT path, parent, depth, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, CAST(sum(complexity) AS BIGINT) AS complexity FROM up WHERE role = 'source' GROUP BY 1, 2, 3)"""
+
+
+@query("g1_index_totals", """
+SELECT (SELECT count(*) FROM files) AS files, (SELECT CAST(sum(loc) AS BIGINT) FROM files) AS loc, (SELECT CAST(sum(complexity) AS BIGINT) FROM files) AS complexity,
+  (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM symbols WHERE exported) AS exported, (SELECT count(*) FROM imports) AS imports,
+  (SELECT count(*) FROM imports WHERE confidence = 'external') AS external, (SELECT count(*) FROM imports WHERE confidence = 'unresolved') AS unresolved,
+  (SELECT count(*) FROM calls) AS calls, (SELECT count(*) FROM calls WHERE resolution = 'exact') AS exact_calls, (SELECT count(*) FROM imports WHERE confidence = 'exact') AS resolved""")
+def g1(spark, sf_dir):
+    return metrics.index_totals(*facts(spark, sf_dir, "files", "symbols", "imports", "calls"))
+
+
+@query("g2_language_breakdown", """
+SELECT language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, round(sum(loc) / (SELECT greatest(sum(loc), 1) FROM files WHERE role <> 'asset'), 9) AS share FROM files WHERE role <> 'asset' GROUP BY 1""")
+def g2(spark, sf_dir):
+    return metrics.language_breakdown(*facts(spark, sf_dir, "files")).withColumn("share", F.round("share", 9))
+
+
+@query("g3_package_totals", """
+SELECT name, count(f.id) AS files, CAST(coalesce(sum(loc), 0) AS BIGINT) AS loc, CAST(coalesce(sum(complexity), 0) AS BIGINT) AS complexity
+FROM packages LEFT JOIN files f ON f.package = name AND f.role = 'source' GROUP BY 1""")
+def g3(spark, sf_dir):
+    return metrics.package_totals(*facts(spark, sf_dir, "packages", "files"))
+
+
+@query("g4_directory_totals", f"WITH {DIRS} SELECT * FROM dirs")
+def g4(spark, sf_dir):
+    return metrics.directory_totals(facts(spark, sf_dir, "files")[0], ["source"])
+
+
+@query("n3_tree_level", f"WITH {DIRS} SELECT path, files, loc, complexity, round(loc / greatest(max(loc) OVER (), 1), 9) AS heat FROM dirs WHERE parent = 'brand_1'")
+def n3(spark, sf_dir):
+    out = metrics.tree_level(metrics.directory_totals(facts(spark, sf_dir, "files")[0], ["source"]), "brand_1")
+    return out.withColumn("heat", F.round("heat", 9))
+
+
+@query("g6_import_edges", f"WITH {EDGES} SELECT * FROM edges")
+def g6(spark, sf_dir):
+    return link.import_edges(*facts(spark, sf_dir, "imports"))
+
+
+@query("g7_rollup_edges", f"WITH {ROLLUPS} SELECT * FROM rollups")
+def g7(spark, sf_dir):
+    return link.rollup_edges(*facts(spark, sf_dir, "imports", "files"))
+
+
+@query("l2_cycles", f"""WITH {ROLLUPS}
+SELECT a.level, a.src, a.dst, CASE WHEN a.level = 'package' THEN 'high' ELSE 'medium' END AS severity, a.weight, b.weight AS back
+FROM rollups a JOIN rollups b ON a.level = b.level AND a.src = b.dst AND a.dst = b.src AND a.src < a.dst WHERE a.type = 'imports' AND b.type = 'imports'""")
+def l2(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query("g9_call_edges", f"WITH {CALLS} SELECT * FROM call_edges")
+def g9(spark, sf_dir):
+    return link.call_edges(*facts(spark, sf_dir, "calls"))
+
+
+@query("g30_call_resolution", "SELECT resolution, call_kind, count(*) AS n FROM calls GROUP BY 1, 2")
+def g30(spark, sf_dir):
+    return facts(spark, sf_dir, "calls")[0].groupBy("resolution", "call_kind").agg(F.count("*").alias("n"))
+
+
+@query("k2_type_relations", """
+WITH t AS (SELECT name, min(id) AS target_id, count(*) AS n FROM symbols WHERE kind IN ('class', 'interface', 'struct', 'enum', 'type', 'trait') GROUP BY 1)
+SELECT c.id, c.callee_name AS target, t.target_id, CASE WHEN n IS NULL THEN 'external' WHEN n = 1 THEN 'likely' ELSE 'ambiguous' END AS confidence
+FROM calls c LEFT JOIN t ON c.callee_name = t.name WHERE c.callee_name IS NOT NULL""")
+def k2(spark, sf_dir):
+    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
+    return link.link_type_relations(calls.where("callee_name is not null").select("id", F.col("callee_name").alias("target")), symbols).select("id", "target", "target_id", "confidence")
+
+
+@query("k5_resolve_plain_calls", """
+WITH l AS (SELECT c.id, min(s.id) AS s1, count(*) AS n1 FROM calls c JOIN symbols s ON s.file_id = c.file_id AND s.name = c.callee_name GROUP BY 1),
+w AS (SELECT name, min(id) AS sid, count(*) AS n FROM symbols WHERE exported GROUP BY 1)
+SELECT c.id, CASE WHEN s1 IS NOT NULL THEN 1 WHEN sid IS NOT NULL THEN 2 END AS tier, coalesce(s1, sid) AS target_symbol_id,
+  CASE WHEN n1 = 1 THEN 'exact' WHEN n1 > 1 THEN 'ambiguous' WHEN n = 1 THEN 'likely' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS confidence
+FROM calls c LEFT JOIN l ON c.id = l.id LEFT JOIN w ON c.callee_name = w.name""")
+def k5(spark, sf_dir):
+    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
+    return link.resolve_calls_by_name(calls.select("id", "file_id", "callee_name"), symbols)
+
+
+@query("f5_longest_prefix_owner", """
+WITH o AS (SELECT DISTINCT package AS dir, package AS owner FROM files UNION ALL SELECT DISTINCT dir_path, dir_path FROM files WHERE length(dir_path) % 2 = 0)
+SELECT f.path, max_by(o.owner, length(o.dir)) AS owner FROM files f LEFT JOIN o ON f.path LIKE replace(o.dir, '_', '\\_') || '/%' ESCAPE '\\' GROUP BY 1""")
+def f5(spark, sf_dir):
+    files = facts(spark, sf_dir, "files")[0]
+    dirs = files.select("dir_path").distinct().where(F.length("dir_path") % 2 == 0).select(F.col("dir_path").alias("dir"))
+    owners = files.select(F.col("package").alias("dir")).distinct().unionByName(dirs).withColumn("owner", F.col("dir"))
+    return paths.longest_owner(files.select("path"), "path", owners, "dir", "owner")
+
+
+@query("f6_innermost_container", """
+SELECT inner_id, min_by(outer_id, (hi - lo) * 100000000000000 + outer_id) AS outer_id FROM (
+  SELECT c.id AS inner_id, s.id AS outer_id, s.start_line AS lo, s.end_line AS hi FROM calls c JOIN symbols s ON c.file_id = s.file_id AND c.line * 60 BETWEEN s.start_line AND s.end_line) GROUP BY 1""")
+def f6(spark, sf_dir):
+    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
+    outer = symbols.select("file_id", "id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    return metrics.containing(calls.select("id", "file_id", (F.col("line") * 60).alias("at")), outer, "file_id")
+
+
+@query("f7_next_symbol_asof", """
+SELECT c.id AS left_id, min_by(s.id, s.start_line * 100000000000000 + s.id) AS right_id FROM calls c LEFT JOIN symbols s ON c.file_id = s.file_id AND s.start_line >= c.line * 60 GROUP BY 1""")
+def f7(spark, sf_dir):
+    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
+    left = calls.select("id", "file_id", (F.col("line") * 60).cast("long").alias("at"))
+    return metrics.next_at(left, symbols.select("id", "file_id", F.col("start_line").alias("at")), ["file_id"])
+
+
+@query("h1_occurrence", "SELECT id, CAST(row_number() OVER (PARTITION BY file_id, kind, container ORDER BY start_line, id) AS INT) AS occurrence FROM symbols")
+def h1(spark, sf_dir):
+    return metrics.occurrence(facts(spark, sf_dir, "symbols")[0], ["file_id", "kind", "container"], ["start_line", "id"]).select("id", "occurrence")
+
+
+@query("h3_largest_functions", """
+SELECT * FROM (SELECT file_id, id, complexity, CAST(row_number() OVER (PARTITION BY file_id ORDER BY complexity DESC, id) AS INT) AS rank FROM symbols WHERE kind <> 'class') WHERE rank <= 5""")
+def h3(spark, sf_dir):
+    own = facts(spark, sf_dir, "symbols")[0].where("kind <> 'class'").select("file_id", "id", "complexity")
+    return metrics.top_per_group(own, "file_id", [F.desc("complexity"), "id"], 5)
+
+
+@query("g24_degrees", f"""WITH {EDGES}
+SELECT f.id, (SELECT count(*) FROM edges WHERE dst = f.id) AS n_in, (SELECT count(*) FROM edges WHERE src = f.id) AS n_out FROM files f""")
+def g24(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return metrics.degrees(link.import_edges(imports), files)
+
+
+SCOPE = f"""WITH {EDGES}, top AS (SELECT id FROM files ORDER BY loc DESC, id LIMIT 59),
+key AS (SELECT f.id, loc, complexity, CASE WHEN top.id IS NULL THEN 'agg:' ELSE CAST(f.id AS STRING) END AS node FROM files f LEFT JOIN top ON f.id = top.id)"""
+
+
+@query("i1_scope_graph_nodes", SCOPE + " SELECT node, count(*) AS members, CAST(sum(loc) AS BIGINT) AS loc, CAST(sum(complexity) AS BIGINT) AS complexity FROM key GROUP BY 1")
+def i1_nodes(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return metrics.scope_graph(files, link.import_edges(imports), 60)[0]
+
+
+@query("i1_scope_graph_edges", SCOPE + " SELECT a.node AS src, b.node AS dst, CAST(sum(weight) AS BIGINT) AS weight FROM edges e JOIN key a ON e.src = a.id JOIN key b ON e.dst = b.id WHERE a.node <> b.node GROUP BY 1, 2")
+def i1_edges(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return metrics.scope_graph(files, link.import_edges(imports), 60)[1]
+
+
+@query("l1_duplicates", """
+SELECT shape, count(*) AS members, count(DISTINCT file_id) AS files, CASE WHEN min(name) = max(name) THEN 'high' ELSE 'low' END AS severity
+FROM symbols WHERE complexity >= 2 AND end_line - start_line + 1 >= 3 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT file_id) >= 2""")
+def l1(spark, sf_dir):
+    return findings.duplicates(*facts(spark, sf_dir, "symbols"))
+
+
+RULES = [
+    {"name": "no-economy", "from": ["brand_1*/**"], "disallow": ["**/economy/**"]},
+    {"name": "small-only", "from": ["**/large/*"], "disallow": ["**/small/**"], "allow": ["brand_2/**"], "include_type_only": True},
+]
+
+
+@query("l3_violations", r"""
+WITH p AS (SELECT i.file_id, i.is_type_only, a.path AS p1, b.path AS p2 FROM imports i JOIN files a ON i.file_id = a.id AND a.role = 'source' JOIN files b ON i.target_file_id = b.id),
+v AS (SELECT 'no-economy' AS rule, file_id FROM p WHERE NOT is_type_only AND regexp_matches(p1, '^brand_1[^/]*/.*$') AND regexp_matches(p2, '^(?:.*/)?economy/.*$')
+UNION ALL SELECT 'small-only', file_id FROM p WHERE regexp_matches(p1, '^(?:.*/)?large/[^/]*$') AND regexp_matches(p2, '^(?:.*/)?small/.*$') AND NOT regexp_matches(p2, '^brand_2/.*$'))
+SELECT rule, file_id, count(*) AS n FROM v GROUP BY 1, 2""")
+def l3(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return findings.violations(imports, files, RULES)
+
+
+@query("l4_oversized_functions", """
+SELECT id, complexity, end_line - start_line + 1 AS lines, CASE WHEN complexity >= 50 OR end_line - start_line + 1 >= 400 THEN 'medium' ELSE 'low' END AS severity
+FROM symbols WHERE kind IN ('function', 'method') AND (complexity >= 25 OR (end_line - start_line + 1 >= 200 AND complexity >= 10))""")
+def l4(spark, sf_dir):
+    return findings.oversized_functions(*facts(spark, sf_dir, "symbols"))
+
+
+@query("l5_oversized_files", """
+SELECT f.id, f.loc, CAST(sum(s.complexity) AS BIGINT) AS complexity, count(*) AS functions FROM files f JOIN symbols s ON s.file_id = f.id
+WHERE f.role = 'source' AND f.loc >= 1000 GROUP BY 1, 2 HAVING sum(s.complexity) >= 100""")
+def l5(spark, sf_dir):
+    return findings.oversized_files(*facts(spark, sf_dir, "files", "symbols"))
+
+
+@query("l6_unapproved_dependencies", f"""WITH {ROLLUPS}, d AS (SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM rollups WHERE level = 'package' GROUP BY 1, 2)
+SELECT * FROM d WHERE NOT (src < dst OR src = 'brand_9')""")
+def l6(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    deps = link.rollup_edges(imports, files).where("level = 'package'").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return findings.unapproved(deps, deps.where("src < dst or src = 'brand_9'"))
+
+
+@query("l7_layering", """
+WITH m AS (SELECT DISTINCT package AS member, CAST(length(package) + ascii(right(package, 1)) AS BIGINT) % 4 AS ordinal FROM files),
+o AS (SELECT f.id, m.ordinal FROM files f JOIN m ON f.package = m.member WHERE f.role = 'source')
+SELECT a.ordinal AS from_layer, b.ordinal AS to_layer, count(*) AS n, count(DISTINCT file_id) AS files
+FROM imports i JOIN o a ON i.file_id = a.id JOIN o b ON i.target_file_id = b.id WHERE NOT is_type_only AND a.ordinal > b.ordinal GROUP BY 1, 2""")
+def l7(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    layers = files.select(F.col("package").alias("member")).distinct().withColumn("ordinal", ((F.length("member") + F.ascii(F.right("member", F.lit(1)))) % 4).cast("long"))
+    return findings.layering(imports, files, layers)
+
+
+@query("l8_entry_bypass", """
+SELECT a.package AS src, b.package AS dst, count(*) AS n, count(DISTINCT target_file_id) AS files FROM imports i
+JOIN files a ON i.file_id = a.id AND a.role = 'source' JOIN files b ON i.target_file_id = b.id
+WHERE NOT is_type_only AND a.package <> b.package AND b.package IN (SELECT package FROM files WHERE id % 10 = 3) AND b.id % 10 <> 3 GROUP BY 1, 2""")
+def l8(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return findings.bypasses(imports, files, files.where("id % 10 = 3").select("id"))  # a manifest's entry files
+
+
+HISTORY = """h AS (SELECT c.*, f.file_id FROM commits c JOIN commit_files f USING (commit_id)),
+m AS (SELECT max(made_at) AS t FROM commits)"""
+PAIRS = """cf AS (SELECT *, count(*) OVER (PARTITION BY commit_id) AS n FROM commit_files),
+own AS (SELECT file_id, count(*) AS n FROM commit_files GROUP BY 1),
+co AS (SELECT x.file_id AS a, y.file_id AS b, count(*) AS together FROM cf x JOIN cf y ON x.commit_id = y.commit_id AND x.file_id < y.file_id WHERE x.n BETWEEN 2 AND 30 GROUP BY 1, 2),
+pairs2 AS (SELECT a, b, together FROM co JOIN own p ON p.file_id = a JOIN own q ON q.file_id = b WHERE together >= {least} AND together >= {share} * least(p.n, q.n))"""
+
+
+@query("g16_file_history", f"""WITH {HISTORY}
+SELECT file_id, count(*) AS commits, CAST(sum(CASE WHEN made_at >= (SELECT t FROM m) - INTERVAL 90 DAY THEN 1 ELSE 0 END) AS BIGINT) AS recent, CAST(max(made_at) AS STRING) AS last_at,
+count(DISTINCT author) AS authors, CAST(sum(CASE WHEN ai THEN 1 ELSE 0 END) AS BIGINT) AS ai_commits FROM h GROUP BY 1""")
+def g16(spark, sf_dir):
+    commits, files = facts(spark, sf_dir, "commits", "commit_files")
+    out = history.file_history(commits, files, F.lit(commits.agg(F.max("made_at")).first()[0]))
+    return out.withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("g17_commit_counts", f"""WITH {HISTORY}, d AS (SELECT DISTINCT commit_id, made_at, ai FROM h WHERE file_id IN (SELECT id FROM files WHERE role = 'source' AND package = 'brand_1'))
+SELECT count(*) AS commits, CAST(coalesce(sum(CASE WHEN made_at >= (SELECT t FROM m) - INTERVAL 90 DAY THEN 1 ELSE 0 END), 0) AS BIGINT) AS recent, CAST(coalesce(sum(CASE WHEN ai THEN 1 ELSE 0 END), 0) AS BIGINT) AS ai_commits FROM d""")
+def g17(spark, sf_dir):
+    commits, cf, files = facts(spark, sf_dir, "commits", "commit_files", "files")
+    own = files.where("role = 'source' and package = 'brand_1'").select(F.col("id").alias("file_id"))
+    return history.commit_counts(commits, cf, own, F.lit(commits.agg(F.max("made_at")).first()[0]))
+
+
+@query("g18_co_changes", "WITH " + PAIRS.format(least=2, share=0.02) + " SELECT * FROM pairs2")
+def g18(spark, sf_dir):
+    return history.co_changes(*facts(spark, sf_dir, "commit_files"), min_together=2, min_share=0.02)
+
+
+@query("l9_hidden_coupling", "WITH " + PAIRS.format(least=2, share=0.02) + f""", {EDGES}, n AS (SELECT count(*) AS c FROM commits),
+both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)
+SELECT a, b, together, round(together * c / (p.n * q.n), 6) AS lift FROM pairs2 JOIN own p ON p.file_id = a JOIN own q ON q.file_id = b, n
+WHERE together * c / (p.n * q.n) >= 2 AND NOT EXISTS (SELECT 1 FROM both_ways e WHERE e.src = a AND e.dst = b)
+AND NOT EXISTS (SELECT 1 FROM both_ways e JOIN both_ways g ON e.dst = g.src WHERE e.src = a AND g.dst = b)""")
+def l9(spark, sf_dir):
+    cf, commits, imports = facts(spark, sf_dir, "commit_files", "commits", "imports")
+    own = cf.groupBy("file_id").agg(F.count("*").alias("commits"))
+    pairs = history.co_changes(cf, min_together=2, min_share=0.02)
+    return findings.coupling(pairs, own, commits.count(), link.import_edges(imports), min_together=2).withColumn("lift", F.round("lift", 6))
+
+
+def _bfs_sql(seeds: str, step: str, depth: int) -> str:
+    return f"""walk(seed, node, depth) AS (SELECT seed, node, 0 FROM ({seeds}) UNION SELECT w.seed, e.b, w.depth + 1 FROM walk w JOIN ({step}) e ON e.a = w.node WHERE w.depth < {depth}),
+best AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY 1, 2)"""
+
+
+@query("k21_io_reach", f"WITH {CALLS}, " + _bfs_sql("SELECT kind AS seed, symbol_id AS node FROM io_sites", "SELECT dst AS a, src AS b FROM call_edges WHERE confidence IN ('exact', 'likely')", 3) + " SELECT node AS symbol_id, seed AS kind, CAST(depth AS INT) AS depth FROM best", True)
+def k21(spark, sf_dir):
+    calls, sites = facts(spark, sf_dir, "calls", "io_sites")
+    return reach.io_reach(link.call_edges(calls), sites, 3)
+
+
+@query("k22_entry_reach", f"WITH {CALLS}, " + _bfs_sql("SELECT id AS seed, id AS node FROM symbols WHERE name = 'fn_1'", "SELECT src AS a, dst AS b FROM call_edges WHERE confidence IN ('exact', 'likely')", 4)
+       + """ SELECT seed AS entry_id, least(count(*), 999) AS reach_symbols, count(DISTINCT CASE WHEN s.file_id <> h.file_id THEN s.file_id END) AS reach_files
+FROM best JOIN symbols s ON s.id = node JOIN symbols h ON h.id = seed WHERE depth > 0 GROUP BY 1""", True)
+def k22(spark, sf_dir):
+    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
+    entries = symbols.where("name = 'fn_1'").select(F.col("id").alias("entry_id"), F.col("id").alias("symbol_id"))
+    return reach.entry_reach(link.call_edges(calls), entries, symbols, 4)
+
+
+@query("k26_test_coverage", f"WITH {CALLS}, " + _bfs_sql("SELECT case_id AS seed, case_id AS node FROM cases", "SELECT src AS a, dst AS b FROM call_edges", 3)
+       + """, hit AS (SELECT b.node, b.seed, b.depth, row_number() OVER (PARTITION BY b.node ORDER BY b.depth, b.seed) AS k FROM best b JOIN symbols s ON s.id = b.node JOIN files f ON f.id = s.file_id AND f.role = 'source' WHERE b.depth > 0)
+SELECT node AS symbol_id, count(*) AS tests, count(*) FILTER (depth = 1) AS direct, string_agg(CAST(seed AS STRING), ',' ORDER BY k) FILTER (k <= 6) AS nearest FROM hit GROUP BY 1""", True)
+def k26(spark, sf_dir):
+    calls, cases, symbols, files = facts(spark, sf_dir, "calls", "cases", "symbols", "files")
+    sources = symbols.join(files.where("role = 'source'").select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    return reach.test_coverage(link.call_edges(calls), cases, sources, 3)
+
+
+@query("k37_change_impact", f"WITH {CALLS}, " + _bfs_sql("SELECT id AS seed, id AS node FROM symbols WHERE name = 'fn_2'", "SELECT dst AS a, src AS b FROM call_edges", 4)
+       + " SELECT node AS symbol_id, CAST(min(depth) AS INT) AS depth, count(*) AS changes FROM best WHERE depth > 0 GROUP BY 1", True)
+def k37(spark, sf_dir):
+    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
+    return reach.impact(link.call_edges(calls), symbols.where("name = 'fn_2'").select(F.col("id").alias("symbol_id")), 4)
+
+
+@query("k34_call_graph", f"""WITH {EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM edges),
+walk(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT r.dst, w.depth + 1 FROM walk w JOIN r ON r.src = w.node AND r.k <= 5 WHERE w.depth < 3),
+best AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)
+SELECT CAST(b.depth + 1 AS INT) AS level, r.src, r.dst, r.weight FROM best b JOIN r ON r.src = b.node AND r.k <= 5 WHERE b.depth < 3""", True)
+def k34(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return graph.call_graph(link.import_edges(imports), files.where("id = 1").select(F.col("id").alias("node")), 3, 5)
+
+
+@query("k35_shortest_import_path")
+def k35(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    a = files.where("package = 'brand_1' and role = 'config'").select(F.col("id").alias("node"))
+    b = files.where("package = 'brand_2' and role = 'test'").select(F.col("id").alias("node"))
+    return graph.shortest_path(link.import_edges(imports), a, b)
+
+
+@query("m1_file_diff", """
+WITH base AS (SELECT path, hash FROM files WHERE id % 7 <> 0), head AS (SELECT CASE WHEN id % 11 = 0 THEN 'moved/' || path ELSE path END AS path, CASE WHEN id % 13 = 0 THEN md5(hash) ELSE hash END AS hash FROM files WHERE id % 5 <> 0),
+j AS (SELECT coalesce(b.path, h.path) AS path, b.hash AS h0, h.hash AS h1 FROM base b FULL JOIN head h ON b.path = h.path),
+gone AS (SELECT h0 AS hash, path AS old_path, row_number() OVER (PARTITION BY h0 ORDER BY path) AS k FROM j WHERE h1 IS NULL),
+new AS (SELECT h1 AS hash, path, row_number() OVER (PARTITION BY h1 ORDER BY path) AS k FROM j WHERE h0 IS NULL)
+SELECT coalesce(n.path, g.old_path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN g.old_path IS NULL THEN 'added' ELSE 'moved' END AS status, CASE WHEN n.path IS NOT NULL THEN g.old_path END AS old_path
+FROM new n FULL JOIN gone g ON n.hash = g.hash AND n.k = g.k UNION ALL SELECT path, 'modified', NULL FROM j WHERE h0 <> h1""")
+def m1(spark, sf_dir):
+    files = facts(spark, sf_dir, "files")[0]
+    base = files.where("id % 7 <> 0").select("path", "hash")
+    head = files.where("id % 5 <> 0").select(F.expr("case when id % 11 = 0 then 'moved/' || path else path end").alias("path"), F.expr("case when id % 13 = 0 then md5(hash) else hash end").alias("hash"))
+    return diff.diff_files(base, head)
+
+
+SNAPSHOTS = """cut AS (SELECT DATE '1999-01-01' AS t),
+b AS (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity) AS q FROM lineitem WHERE l_shipdate < (SELECT t FROM cut) GROUP BY 1, 2),
+h AS (SELECT l_partkey AS p, l_suppkey AS s, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("m2_symbol_pairs", f"""WITH {SNAPSHOTS}
+SELECT CAST(coalesce(b.p, h.p) AS STRING) AS path, CAST(coalesce(b.s, h.s) AS STRING) AS name, CASE WHEN b.p IS NULL THEN 'added' WHEN h.p IS NULL THEN 'removed' WHEN b.q <> h.q THEN 'modified' ELSE 'same' END AS status
+FROM b FULL JOIN h ON b.p = h.p AND b.s = h.s""")
+def m2(spark, sf_dir):
+    facts(spark, sf_dir)
+    raw = spark.table("lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("name"), "l_quantity", "l_shipdate")
+
+    def snapshot(rows):
+        out = rows.groupBy("path", "name").agg(F.sum("l_quantity").cast("string").alias("hash"))
+        return out.select("path", "name", F.lit(None).cast("string").alias("container"), F.lit("function").alias("kind"), F.lit(1).alias("start_line"), F.xxhash64("path", "name").alias("id"), "hash")
+
+    pairs = diff.pair_symbols(snapshot(raw.where("l_shipdate < date '1999-01-01'")), snapshot(raw))
+    return pairs.select("path", "name", "status")
+
+
+@query("m5_dependency_diff", """
+WITH w AS (SELECT a.package AS src, b.package AS dst, count(*) FILTER (s.l_shipdate < DATE '1999-01-01') AS before, count(*) AS after FROM sites s JOIN files a ON s.l_partkey = a.id JOIN files b ON s.next_part = b.id WHERE a.package <> b.package GROUP BY 1, 2)
+SELECT src, dst, CASE WHEN before = 0 THEN 'added' ELSE 'modified' END AS status, before, after FROM w WHERE before <> after""")
+def m5(spark, sf_dir):
+    sites, files = facts(spark, sf_dir, "sites", "files")
+    own = files.select("id", "package")
+    pairs = sites.join(own.toDF("l_partkey", "src"), "l_partkey").join(own.toDF("next_part", "dst"), "next_part").where("src <> dst")
+    weigh = lambda df: df.groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return diff.diff_weights(weigh(pairs.where("l_shipdate < date '1999-01-01'")), weigh(pairs), ["src", "dst"])
+
+
+@query("m7_finding_diff", """
+WITH o AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_shipdate < DATE '1999-01-01' AND l_quantity > 40), n AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_shipdate >= DATE '1999-01-01' AND l_quantity > 40)
+SELECT k AS group_key, 'added' AS status FROM n WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'removed' FROM o WHERE k NOT IN (SELECT k FROM n)""")
+def m7(spark, sf_dir):
+    facts(spark, sf_dir)
+    big = spark.table("lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("group_key"), "l_shipdate")
+    return diff.diff_keys(big.where("l_shipdate < date '1999-01-01'"), big.where("l_shipdate >= date '1999-01-01'"), ["group_key"])
+
+
+@query("n9_search_bm25")
+def n9(spark, sf_dir):
+    facts(spark, sf_dir)
+    entries = spark.table("part").select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("label"), F.col("p_type").alias("detail"))
+    return search.search(search.build_index(entries), "red wid")
+
+
+@query("n9_search_matches", """
+WITH t AS (SELECT p_partkey AS ref, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS token FROM part)
+SELECT ref FROM t GROUP BY 1 HAVING bool_or(starts_with(token, 'red')) AND bool_or(starts_with(token, 'wid'))""")
+def n9_matches(spark, sf_dir):
+    facts(spark, sf_dir)
+    entries = spark.table("part").select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("label"), F.col("p_type").alias("detail"))
+    return search.search(search.build_index(entries), "red wid", limit=2**31 - 1).select("ref")
+
+
+@query("n31_code_search", """
+WITH l AS (SELECT doc_id AS ref, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+m AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY line) AS k FROM l WHERE regexp_matches(text, '[Ll]icensed? under'))
+SELECT ref, CAST(line AS INT) AS line, text FROM m WHERE k <= 6 ORDER BY ref, line LIMIT 60""")
+def n31(spark, sf_dir):
+    facts(spark, sf_dir)
+    return search.search_lines(spark.table("documents").select(F.col("doc_id").alias("ref"), "text"), "[Ll]icensed? under")
+
+
+@query("k23_route_segments", r"""
+SELECT page_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda p: p <> ''),
+  lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN '*' ELSE p END), '/') AS route FROM pages""")
+def k23(spark, sf_dir):
+    facts(spark, sf_dir)
+    return spark.table("pages").select("page_id", F.array_join(link.route_segments(F.col("url")), "/").alias("route"))
+
+
+@query("k25_http_links")
+def k25(spark, sf_dir):
+    facts(spark, sf_dir)
+    pages = spark.table("pages")
+    routes = pages.select(link.route_segments(F.col("url")).alias("segments")).distinct().select(F.xxhash64(F.array_join("segments", "/")).alias("route_id"), "segments")
+    return link.http_links(pages.select(F.col("page_id").alias("request_id"), link.route_segments(F.col("url")).alias("segments")), routes)
+
+
+@query("a2_content_hash", "SELECT doc_id, substr(sha1(text), 1, 16) AS hash FROM documents")
+def a2(spark, sf_dir):
+    facts(spark, sf_dir)
+    return spark.table("documents").select("doc_id", F.substring(F.sha1("text"), 1, 16).alias("hash"))
+
+
+@query("d11_changed_files", """
+WITH old AS (SELECT doc_id, sha1(text) AS hash FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, sha1(CASE WHEN doc_id % 4 = 0 THEN text || ' ' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0)
+SELECT n.doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' ELSE 'changed' END AS state FROM new n LEFT JOIN old o USING (doc_id) WHERE o.hash IS NULL OR o.hash <> n.hash
+UNION ALL SELECT doc_id, 'deleted' FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)""")
+def d11(spark, sf_dir):
+    facts(spark, sf_dir)
+    docs = spark.table("documents")
+    old = docs.where("doc_id % 3 <> 0").select("doc_id", F.sha1("text").alias("was"))
+    new = docs.where("doc_id % 7 <> 0").select("doc_id", F.sha1(F.expr("case when doc_id % 4 = 0 then text || ' ' else text end")).alias("hash"))
+    both = old.join(new, "doc_id", "full_outer").where("was is null or hash is null or was <> hash")
+    return both.select("doc_id", F.when(F.col("hash").isNull(), "deleted").when(F.col("was").isNull(), "new").otherwise("changed").alias("state"))
+
+
+@query("s_context_budget", """
+WITH r AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations)
+SELECT conv_id, count(*) AS turns, CAST(max(used) AS BIGINT) AS chars FROM r WHERE used <= 3000 GROUP BY 1""")
+def s_budget(spark, sf_dir):
+    from pyspark.sql import Window
+
+    facts(spark, sf_dir)
+    used = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return spark.table("conversations").select("conv_id", used.alias("used")).where("used <= 3000").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("used").alias("chars"))
+
+
+@query("s_stale_summaries", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
+def s_stale(spark, sf_dir):
+    facts(spark, sf_dir)
+    both = spark.table("documents").select("doc_id").join(spark.table("labels"), "doc_id", "left")
+    state = F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 0, "stale").otherwise("fresh")
+    return both.select("doc_id", state.alias("state"))
+
+
+@query("qs2_debounce_sessions", """
+WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, CAST(min(ts) AS STRING)[1:19] AS started, count(*) AS changes FROM s GROUP BY user_id, k""")
+def qs2(spark, sf_dir):
+    from graphloom.streaming.live import debounce
+
+    facts(spark, sf_dir)
+    out = debounce(spark.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id"), "2 hours")
+    return out.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "changes")
