@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import itertools
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +32,22 @@ END_ID = 0
 GAP = 0.001
 MAX_ROUNDS = 60
 
-_UNIT = re.compile(r"(?= \S)")
+#: The pre-tokens of byte-level BPE: contractions, and runs of letters, of numbers, of other characters and of white
+#: space, each but the last with one space before it (fixed values of the tokenizer's published pattern).
+_UNIT = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters that Python's classes put elsewhere than the pattern's: information separators and numbers that are no
+#: digits; beyond the basic plane all characters are taken to be such.
+_ODD = re.compile("[\x1c-\x1f" + "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+#: Byte-level BPE's alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class _Ids(dict):
-    """Token ids of a unit (a word with the space before it) as little-endian bytes; remembers a bounded number."""
+    """Token ids of pre-tokens as little-endian bytes; remembers a bounded number."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,22 +56,25 @@ class _Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, unit: str) -> bytes:
-        value = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(unit) <= 64:
-            if len(self) > 300_000:
-                self.clear()
-            self[unit] = value
+        if len(self) > 500_000:
+            self.clear()
+        found = self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(_BYTE_CHARS))
+        self[unit] = value = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return value
 
 
 def token_bytes(text: str | None, ids: _Ids) -> bytes:
     """The ids of a text and the end id, 4 bytes each.
 
-    Byte-level pre-tokenisation always breaks before a space that a non-space follows, so the units between such
-    places can be encoded alone, and most units are words seen before.
+    Pre-tokens are encoded independently of each other, so each that was seen before is looked up. A text with
+    characters on which the pattern's classes differ, or that may hold a special token, is encoded whole.
     """
-    units = map(ids.__getitem__, _UNIT.split(text)) if text else ()
-    return b"".join(units) + END_ID.to_bytes(4, "little")
+    end = END_ID.to_bytes(4, "little")
+    if not text:
+        return end
+    if "<|" in text or _ODD.search(text) or not text.isascii() and _ASTRAL.search(text):
+        return np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+    return b"".join(map(ids.__getitem__, _UNIT.findall(text))) + end
 
 
 def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
