@@ -121,13 +121,13 @@ def component_of_prints(prints: DataFrame, max_distance: int = MAX_DISTANCE) ->
     if max_distance > MAX_DISTANCE:
         raise ValueError(f"the covering holds up to {MAX_DISTANCE} differing bits")
     least = homes(prints).groupBy("anchor").agg(F.min("fp").alias("b"))
-    stars = visits(prints).select("anchor", F.col("fp").alias("a")).join(least, "anchor").where("a <> b").where(_distance() <= max_distance)
+    stars = visits(prints).select("anchor", F.col("fp").alias("a")).join(least.hint("merge"), "anchor").where("a <> b").where(_distance() <= max_distance)
     joined = written(connected_components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))), "stars")
     known = prints.join(joined, prints.fp == joined.node, "left").select("fp", F.coalesce("component", "fp").alias("c"))
     known = written(known, "known")
     left = visits(known).select("anchor", F.col("fp").alias("a"), F.col("c").alias("u"))
     right = homes(known).select("anchor", F.col("fp").alias("b"), F.col("c").alias("v"))
-    cross = left.join(right, "anchor").where("u <> v").where(_distance() <= max_distance).select("u", "v")
+    cross = left.join(right.hint("merge"), "anchor").where("u <> v").where(_distance() <= max_distance).select("u", "v")
     merged = connected_components(cross)
     out = known.join(merged, known.c == merged.node, "left").select("fp", F.coalesce("component", "c").alias("component"))
     return out.where("fp <> component")
