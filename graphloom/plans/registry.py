@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import diff, findings, graph, history, link, metrics, reach, search
+from graphloom.operators import boundary, diff, findings, graph, history, link, metrics, reach, search
 from graphloom.sources.projection import facts, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -492,3 +492,91 @@ def qs2(spark, sf_dir):
     facts(spark, sf_dir)
     out = debounce(spark.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id"), "2 hours")
     return out.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "changes")
+
+
+@query("g20_boundary_usage", """
+SELECT c.target_symbol_id AS symbol_id, count(*) AS calls, count(DISTINCT coalesce(c.caller_symbol_id, -c.file_id)) AS callers
+FROM calls c JOIN symbols s ON s.id = c.target_symbol_id JOIN files i ON i.id = s.file_id AND i.package = 'brand_1' JOIN files o ON o.id = c.file_id AND o.package <> 'brand_1' GROUP BY 1""")
+def g20(spark, sf_dir):
+    calls, symbols, files = facts(spark, sf_dir, "calls", "symbols", "files")
+    side = lambda c: files.where(c).select(F.col("id").alias("file_id"))
+    return boundary.boundary_usage(calls, symbols, side("package = 'brand_1'"), side("package <> 'brand_1'"))
+
+
+@query("g21_module_api", """
+WITH u AS (SELECT b.package, s.id AS symbol_id, count(DISTINCT c.caller_symbol_id) AS callers FROM calls c JOIN files a ON a.id = c.file_id JOIN symbols s ON s.id = c.target_symbol_id
+  JOIN files b ON b.id = s.file_id WHERE a.package <> b.package GROUP BY 1, 2)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY package ORDER BY callers DESC, symbol_id) AS INT) AS rank FROM u) WHERE rank <= 12""")
+def g21(spark, sf_dir):
+    return boundary.module_api(*facts(spark, sf_dir, "calls", "symbols", "files"))
+
+
+@query("g27_module_dependencies", f"""WITH {EDGES}, p AS (SELECT a.package AS src, b.package AS dst, e.weight, a.path || '>' || b.path AS s, row_number() OVER (PARTITION BY a.package, b.package ORDER BY e.weight DESC, a.path, b.path) AS k
+  FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst WHERE a.package <> b.package)
+SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight, string_agg(s, ';' ORDER BY k) FILTER (k <= 3) AS samples FROM p GROUP BY 1, 2""")
+def g27(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    return boundary.module_dependencies(link.import_edges(imports), files)
+
+
+@query("k30_public_api_closure", """
+WITH api(file_id) AS (SELECT id FROM files WHERE id % 100 = 3 UNION SELECT i.target_file_id FROM api JOIN imports i ON i.file_id = api.file_id WHERE i.is_type_only AND i.target_file_id % 3 = 0) SELECT file_id FROM api""", True)
+def k30(spark, sf_dir):
+    imports, files = facts(spark, sf_dir, "imports", "files")
+    entries = files.where("id % 100 = 3").select(F.col("id").alias("file_id"))  # entry files by their names
+    return boundary.public_api_files(entries, imports.where("is_type_only and target_file_id % 3 = 0"))
+
+
+@query("n21_forwarders", f"""WITH {CALLS}, one AS (SELECT src, min(dst) AS dst FROM call_edges GROUP BY 1 HAVING count(*) = 1)
+SELECT o.src AS symbol_id, o.dst AS target_id FROM one o JOIN symbols s ON s.id = o.src WHERE s.complexity <= 10 AND s.end_line - s.start_line < 90""")
+def n21(spark, sf_dir):
+    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
+    return boundary.forwarders(link.call_edges(calls), symbols, max_lines=90, max_complexity=10)
+
+
+@query("m4_behaviour_diff", """
+WITH b AS (SELECT DISTINCT caller_symbol_id AS s, callee_name AS c FROM calls WHERE callee_name IS NOT NULL AND line <= 5), h AS (SELECT DISTINCT caller_symbol_id AS s, callee_name AS c FROM calls WHERE callee_name IS NOT NULL AND line >= 3),
+j AS (SELECT coalesce(b.s, h.s) AS symbol_id, b.s IS NULL AS gained, h.s IS NULL AS lost FROM b FULL JOIN h ON b.s = h.s AND b.c = h.c)
+SELECT symbol_id, count(*) FILTER (gained) AS added, count(*) FILTER (lost) AS removed FROM j WHERE gained OR lost GROUP BY 1""")
+def m4(spark, sf_dir):
+    calls = facts(spark, sf_dir, "calls")[0].where("callee_name is not null").select(F.col("caller_symbol_id").alias("symbol_id"), F.col("callee_name").alias("callee"), "line")
+    return boundary.behaviour_diff(calls.where("line <= 5"), calls.where("line >= 3"))
+
+
+@query("e14_lookup", "SELECT CAST(5 AS INT) AS tier, 'symbol' AS kind, CAST(id AS STRING) AS ref FROM symbols WHERE name = 'fn_3' ORDER BY ref LIMIT 12")
+def e14(spark, sf_dir):
+    return boundary.lookup("fn_3", *facts(spark, sf_dir, "packages", "files", "symbols"))
+
+
+@query("k27_sql_lineage", """
+SELECT id, name, bool_or(write) AS write FROM (SELECT p_partkey AS id, lower(p_type) AS name, true AS write FROM part
+UNION ALL SELECT p_partkey, lower(replace(p_brand, '#', '_')), false FROM part UNION ALL SELECT p_partkey, lower(split_part(p_name, ' ', 2)), false FROM part) GROUP BY 1, 2""")
+def k27(spark, sf_dir):
+    facts(spark, sf_dir)
+    literal = F.expr("'INSERT INTO ' || p_type || ' SELECT * FROM ' || replace(p_brand, '#', '_') || ' b JOIN ' || split_part(p_name, ' ', 2) || ' USING (id)'")
+    return search.sql_tables(spark.table("part").select(F.col("p_partkey").alias("id"), literal.alias("literal")))
+
+
+@query("n11_reveal_chain", """
+SELECT id, level, CAST(depth AS INT) AS depth FROM (SELECT id, package AS level, 1 AS depth FROM files UNION ALL SELECT id, dir_path, 2 FROM files UNION ALL SELECT id, path, 3 FROM files)""")
+def n11(spark, sf_dir):
+    files = facts(spark, sf_dir, "files")[0]
+    each = files.select("id", F.posexplode(paths.ancestors(F.col("path"), include_self=True)).alias("d", "level"))
+    return each.select("id", "level", (F.col("d") + 1).alias("depth"))
+
+
+@query("g14_finding_summary", """
+WITH d AS (SELECT shape, CASE WHEN min(name) = max(name) THEN 'high' ELSE 'low' END AS severity FROM symbols WHERE complexity >= 2 AND end_line - start_line + 1 >= 3 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT file_id) >= 2),
+o AS (SELECT id, CASE WHEN complexity >= 50 OR end_line - start_line + 1 >= 400 THEN 'medium' ELSE 'low' END AS severity FROM symbols WHERE kind IN ('function', 'method') AND (complexity >= 25 OR (end_line - start_line + 1 >= 200 AND complexity >= 10))),
+f AS (SELECT 'duplicate' AS kind, severity FROM d UNION ALL SELECT 'oversized', severity FROM o) SELECT kind, severity, count(*) AS groups FROM f GROUP BY 1, 2""")
+def g14(spark, sf_dir):
+    symbols = facts(spark, sf_dir, "symbols")[0]
+    kinds = findings.duplicates(symbols).select(F.lit("duplicate").alias("kind"), "severity").unionByName(findings.oversized_functions(symbols).select(F.lit("oversized").alias("kind"), "severity"))
+    return kinds.groupBy("kind", "severity").agg(F.count("*").alias("groups"))
+
+
+@query("h5_latest_summary", """
+SELECT o_custkey AS target, max_by(o_orderkey, epoch_ms(o_orderdate) // 1000 * 10000000 + o_orderkey) AS latest FROM orders GROUP BY 1""")
+def h5(spark, sf_dir):
+    facts(spark, sf_dir)
+    return spark.table("orders").groupBy(F.col("o_custkey").alias("target")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
