@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Each block of rows has inverted files, one a pivot, of the
+A vector is represented by its nearest pivots in order (after lifting all vectors to one length, so that a large inner
+product is a small angle). Each block of rows has inverted files, one a pivot, of the
 rows that list it and at which place; a block of queries walks the files of its own pivots, which sums up the footrule
 distances of all rows that share a pivot with it. The nearest of the block by footrule are reranked by inner product.
 """
@@ -18,8 +19,9 @@ from graphloom.llm.common import written
 
 #: Pivots are the valid vectors with the smallest hash of their id; each vector lists its nearest DEPTH of them.
 PIVOTS, DEPTH = 128, 32
-#: The share of a block's rows, those nearest by footrule, that is reranked: recall was measured at this value.
-RERANK_SHARE = 0.25
+#: The share of a block's rows, those nearest by footrule, that is reranked, and at least how many rows: recall was
+#: measured at these values.
+RERANK_SHARE, RERANK_ROWS = 0.3, 1024
 ROWS_PER_BLOCK, QUERIES_PER_BLOCK, QUERIES_AT_ONCE = 8192, 4096, 256
 
 
@@ -29,10 +31,21 @@ def is_valid(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(~odd, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def _norm(column: str) -> Column:
+    return F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, v: a + v * v))
+
+
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """The vectors with one more component that makes all of them as long as the longest.
+
+    A query keeps 0 there, so that its largest inner products are its smallest angles to the lifted vectors.
+    """
+    return np.hstack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1, keepdims=True), 0))])
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """The places of the nearest pivots of each row, nearest first; ties go to the earlier pivot."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = unit @ (pivots / np.linalg.norm(pivots, axis=1, keepdims=True)).T
+    near = x @ pivots.T  # lifted pivots are equally long
     return np.argsort(-near, axis=1, kind="stable")[:, :depth]
 
 
@@ -49,18 +62,19 @@ def footrule_gain(queries: np.ndarray, files: list[tuple[np.ndarray, np.ndarray]
     return gain
 
 
-def search_block(qid, q, rid, x, pivots, k: int, depth: int, share: float) -> Iterator[tuple[np.ndarray, ...]]:
+def search_block(qid, q, rid, x, pivots, longest: float, k: int, depth: int, share: float) -> Iterator[tuple[np.ndarray, ...]]:
     """For each query the k nearest rows of a block: (query ids, row ids, scores)."""
     order = np.argsort(rid, kind="stable")
     rid, x = rid[order], x[order]
-    lists = permutations(x, pivots, depth)
+    pivots = lifted(pivots, longest)
+    lists = permutations(lifted(x, longest), pivots, depth)
     flat = np.argsort(lists.ravel(), kind="stable")
     ends = np.searchsorted(lists.ravel()[flat], np.arange(len(pivots) + 1))
     files = [(flat[a:b] // lists.shape[1], (flat[a:b] % lists.shape[1]).astype(np.int32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    most = min(len(rid), max(4 * (k + 1), int(np.ceil(share * len(rid)))))
+    most = min(len(rid), max(RERANK_ROWS, 4 * (k + 1), int(np.ceil(share * len(rid)))))
     for at in range(0, len(qid), QUERIES_AT_ONCE):
         part = q[at : at + QUERIES_AT_ONCE]
-        gain = footrule_gain(permutations(part, pivots, depth), files, len(rid), depth)
+        gain = footrule_gain(permutations(np.hstack([part, np.zeros((len(part), 1))]), pivots, depth), files, len(rid), depth)
         for n in range(len(part)):
             # Equal distances are cut by the smaller id, so copies of one vector never hide the smallest of them.
             key = gain[n].astype(np.int64) * len(rid) - np.arange(len(rid))
@@ -91,7 +105,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_pivots: int = PI
     if not lengths:
         return spark.createDataFrame([], found).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     own = own.where(F.size("x") == lengths[0].d)
-    total = own.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
+    total = own.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max(_norm("x")).alias("longest")).first()
     chosen = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
     pivots = spark.sparkContext.broadcast(np.array([r.x for r in chosen]))
     depth = min(depth, len(chosen))
@@ -108,7 +122,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, n_pivots: int = PI
         out = []
         if asks.any() and not asks.all():
             ids, x = block.vec_id.to_numpy(np.int64), np.stack(block.x.to_numpy())
-            out = list(search_block(ids[asks], x[asks], ids[~asks], x[~asks], pivots.value, k, depth, share))
+            out = list(search_block(ids[asks], x[asks], ids[~asks], x[~asks], pivots.value, total.longest, k, depth, share))
         parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), parts, strict=True)))
 
