@@ -18,12 +18,17 @@ from graphloom.llm.common import ASCII_SPACE, text_or_empty, written
 
 #: Target shares of the tokens. Domains come from the labelled table, see `domain_of`.
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+#: The targets are scaled so that this domain keeps its expected tokens, and no rate is below a document's posterior
+#: for it: its documents stay, the others give way.
+ANCHOR = "good"
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their doc_id.
 MAX_TRAINING_ROWS = 8192
 BUCKETS = 4096
 #: The evidence of a text counts as much as that of so many words, which keeps memberships soft on long texts.
 EVIDENCE = 64.0
 RIDGE, MAX_STEPS, TOLERANCE = 1e-4, 40, 1e-6
+#: No document is repeated more often.
+MAX_RATE = 8.0
 
 
 def domain_of() -> Column:
@@ -77,16 +82,20 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
     return out.withColumn("p", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))).drop("_s", "_e")
 
 
-def rate_of(steps: list[np.ndarray]) -> Column:
-    """The rate after these steps: from 1, each takes the posteriors' product with its direction and projects onto r >= 0."""
+def rate_of(steps: list[np.ndarray], anchor: int | None = None) -> Column:
+    """The rate after these steps: from 1, each takes the posteriors' product with its direction and projects onto a box.
+
+    The box reaches from the anchor's posterior (0 without one) to MAX_RATE.
+    """
+    least = F.lit(0.0) if anchor is None else F.col("p")[anchor]
     if not steps:
         return F.lit(1.0)
     moves = F.from_json(F.lit(json.dumps([[float(v) for v in s] for s in steps])), "array<array<double>>")
     dot = lambda m: F.aggregate(F.zip_with("p", m, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(moves, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - dot(m)))
+    return F.aggregate(moves, F.lit(1.0), lambda r, m: F.least(F.lit(MAX_RATE), F.greatest(least, r - dot(m))))
 
 
-def fit_rates(member: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS) -> list[np.ndarray]:
+def fit_rates(member: DataFrame, targets: np.ndarray, anchor: int | None, max_steps: int = MAX_STEPS) -> list[np.ndarray]:
     """Steps of projected gradient on the least squares of (expected domain tokens - targets), in shares of all tokens.
 
     The squares are weighted by the inverse of the memberships' token-weighted second moments and the documents'
@@ -98,10 +107,12 @@ def fit_rates(member: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS
     if not got.tokens:
         return []
     moments = np.array([[got[f"m{i}_{j}"] for j in range(size)] for i in range(size)]) / got.tokens
+    if anchor is not None and targets[anchor] > 0 and moments[anchor].sum() > 0:
+        targets = targets * (moments[anchor].sum() / targets[anchor])  # the posteriors of a document sum to 1
     inverse = np.linalg.inv(moments + RIDGE * np.eye(size))
     steps: list[np.ndarray] = []
     for _ in range(max_steps):
-        r = rate_of(steps)
+        r = rate_of(steps, anchor)
         share = member.select("tokens", "p", r.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * F.col("p")[k]).alias(f"s{k}") for k in range(size)]).first()
         residual = np.array([share[f"s{k}"] for k in range(size)]) / got.tokens - targets
         if np.abs(residual).max() < TOLERANCE:
@@ -115,26 +126,28 @@ def _draw() -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _copies(steps: list[np.ndarray]) -> Column:
-    return F.floor(rate_of(steps) + _draw())
+def _copies(steps: list[np.ndarray], anchor: int | None) -> Column:
+    return F.floor(rate_of(steps, anchor) + _draw())
 
 
-def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR) -> DataFrame:
     """One row per row of `docs`: `doc_id`, `tokens`, one posterior `p_<domain>` a domain, `rate`, `copies`.
 
     `tokens` counts words between ASCII white space; null and empty texts have none, get the prior as posteriors and
     the rate that this implies. `copies` is the rate rounded up or down by a hash of doc_id, so that its expectation
-    is the rate. Targets that the memberships cannot reach are met as nearly as least squares allows; without any
+    is the rate. With an `anchor` the targets are shares of such a total that the anchor's tokens stay as they are;
+    without one, of the present total. Targets that the memberships cannot reach are met as nearly as least squares allows; without any
     token all rates are 1. Repeated rows are rated alike; an empty table gives an empty result.
     """
     domains, own = list(targets), docs.select("doc_id", "text")
     member = written(posteriors(own, fit_classifier(own, labels, domains)), "posteriors")
-    steps = fit_rates(member, np.array([targets[d] for d in domains]))
+    at = domains.index(anchor) if anchor in targets else None
+    steps = fit_rates(member, np.array([targets[d] for d in domains]), at)
     each = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
-    return member.select("doc_id", "tokens", *each, rate_of(steps).alias("rate"), _copies(steps).alias("copies"))
+    return member.select("doc_id", "tokens", *each, rate_of(steps, at).alias("rate"), _copies(steps, at).alias("copies"))
 
 
-def mixing_resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixing_resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR) -> DataFrame:
     """The rows of `docs`, each as often as its copies say (also not at all), with all their columns.
 
     The rates are fitted on written posteriors; to apply them, the posteriors are computed again beside the texts,
@@ -143,7 +156,8 @@ def mixing_resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     domains = list(targets)
     model = fit_classifier(docs, labels, domains)
     member = written(posteriors(docs.select("doc_id", "text"), model), "posteriors")
-    steps = fit_rates(member, np.array([targets[d] for d in domains]))
+    at = domains.index(anchor) if anchor in targets else None
+    steps = fit_rates(member, np.array([targets[d] for d in domains]), at)
     row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    times = posteriors(row, model).select("_row", F.explode(F.array_repeat(F.lit(0), _copies(steps).cast("int"))))
+    times = posteriors(row, model).select("_row", F.explode(F.array_repeat(F.lit(0), _copies(steps, at).cast("int"))))
     return times.select("_row.*")
