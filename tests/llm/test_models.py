@@ -1,0 +1,144 @@
+"""Toxicity, mixing and secrets: held-out accuracy, brute-force folds and the cases the docstrings define."""
+
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from graphloom.llm import mixing as M
+from graphloom.llm import secrets as C
+from graphloom.llm import toxicity as X
+
+
+def corpus(n=400, seed=0):
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        bad = rng.random() < 0.3
+        words = [f"w{rng.randrange(200)}" for _ in range(rng.randint(5, 60))]
+        for _ in range(3 * bad):
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "scum", "moron"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1 - (i % 9 == 0), int(bad)))
+    return docs, labels
+
+
+def test_toxicity_on_held_out_rows(make):
+    docs, labels = corpus()
+    got = X.toxicity(make(docs, "doc_id long, text string"), make(labels, "doc_id long, quality int, toxic int")).collect()
+    truth = {i: t for i, _, t in labels}
+    out = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got) and len(out) > 40
+    assert sum(r.predicted == truth[r.doc_id] for r in out) / len(out) > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_toxicity_does_not_learn_from_held_out_rows(make):
+    docs, labels = corpus(120)
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    flipped = [(i, q, 1 - t if i in held else t) for i, q, t in labels]
+    d = make(docs, "doc_id long, text string")
+    a, b = (X.train(d, make(rows, "doc_id long, quality int, toxic int")) for rows in (labels, flipped))
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
+def test_toxicity_cases(make):
+    docs = make([(1, None, "a", 0.5), (2, "", "b", 0.1), (None, "idiot", "c", 0.2), (3, "idiot " * 30000, "d", 0.3), (3, "idiot", "d", 0.3)], "doc_id long, text string, lang string, score double")
+    none = make([], "doc_id long, quality int, toxic int")
+    got = X.toxicity(docs, none).collect()
+    assert len(got) == 5 and all(abs(r.score - 0.01) < 1e-9 and r.predicted == 0 for r in got)
+    assert X.toxicity_filter(docs, none).columns == docs.columns
+    labels = make([(3, 1, 1), (3, 1, 1), (2, 1, None), (77, 0, 1)], "doc_id long, quality int, toxic int")
+    assert X.toxicity(docs, labels).count() == 5
+    assert X.toxicity(make([], "doc_id long, text string"), labels).count() == 0
+
+
+def test_ftrl_by_the_book():
+    rows = [(np.array([1, 2], np.uint32), 1), (np.array([2, 3], np.uint32), 0)] * 20
+    w, bias = X.ftrl(rows, epochs=2)
+    z, n, b, bn = {}, {}, float(np.log(21 / (20 + 99))), 0.0
+    weight = lambda k: 0.0 if abs(z.get(k, 0)) <= X.L1 else (np.sign(z[k]) * X.L1 - z[k]) / ((X.BETA + n[k] ** 0.5) / X.ALPHA + X.L2)
+    for _ in range(2):
+        for x, y in rows:
+            ws = {int(k): weight(int(k)) for k in x}
+            g = 1 / (1 + np.exp(-(sum(ws.values()) + b))) - y
+            for k, v in ws.items():
+                z[k] = z.get(k, 0) + g - ((n.get(k, 0) + g * g) ** 0.5 - n.get(k, 0) ** 0.5) / X.ALPHA * v
+                n[k] = n.get(k, 0) + g * g
+            bn += g * g
+            b -= X.ALPHA / (X.BETA + bn**0.5) * g
+    assert abs(bias - b) < 1e-9 and all(abs(w[k] - weight(k)) < 1e-9 for k in (1, 2, 3)) and np.count_nonzero(w) <= 3
+
+
+def brute_rates(p, t, targets, steps):
+    r = np.ones(len(t))
+    inverse = np.linalg.inv((p * t[:, None]).T @ p / t.sum() + M.RIDGE * np.eye(p.shape[1]))
+    for _ in range(steps):
+        residual = (r * t) @ p / t.sum() - targets
+        if np.abs(residual).max() < M.TOLERANCE:
+            break
+        r = np.clip(r - p @ (inverse @ residual), 0, M.MAX_RATE)
+    return r
+
+
+def test_mixing_meets_targets_as_brute_force_does(make):
+    docs, labels = corpus()
+    own, marks = make(docs, "doc_id long, text string"), make(labels, "doc_id long, quality int, toxic int")
+    now = M.mixing(own, marks).selectExpr("sum(tokens * p_good) / sum(tokens) g", "sum(tokens * p_low) / sum(tokens) l", "sum(tokens * p_toxic) / sum(tokens) t").first()
+    targets = {"good": now.g - 0.05, "low": now.l, "toxic": now.t + 0.05}
+    got = M.mixing(own, marks, targets, anchor=None).collect()
+    p = np.array([[r.p_good, r.p_low, r.p_toxic] for r in got])
+    t = np.array([r.tokens for r in got], float)
+    rates = np.array([r.rate for r in got])
+    assert np.allclose(p.sum(axis=1), 1) and (rates >= 0).all() and [r.tokens for r in sorted(got)] == [len(x.split()) for _, x in docs]
+    assert np.allclose(rates, brute_rates(p, t, np.array(list(targets.values())), M.MAX_STEPS), atol=1e-6)
+    assert np.allclose((rates * t) @ p / t.sum(), list(targets.values()), atol=1e-3)
+    assert all(abs(r.copies - r.rate) < 1 for r in got)
+    kept = M.mixing(own, marks, {"good": 0.9, "low": 0.01, "toxic": 0.09}).where("p_good > 0.999").collect()
+    assert kept and all(abs(r.rate - 1) < 1e-3 for r in kept)  # the anchor's documents stay
+
+
+def test_mixing_cases(make):
+    docs = make([(1, None, 5, "x"), (2, "", 6, "y"), (None, "a b c", 7, "z"), (3, "a " * 30000, 8, "w"), (3, "a " * 30000, 8, "w")], "doc_id long, text string, tokens int, _row string")
+    labels = make([(3, 1, 0), (3, 0, 0), (1, None, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    got = M.mixing(docs, labels)
+    assert got.count() == 5 and got.where("rate is null or rate < 0 or isnan(rate)").count() == 0
+    out = M.mixing_resample(docs, labels)
+    assert out.columns == docs.columns and out.count() == got.agg(F.sum("copies")).first()[0]
+    empty = make([], "doc_id long, text string")
+    assert M.mixing(empty, labels).count() == 0 and M.mixing_resample(empty, labels).count() == 0
+    blank = M.mixing(make([(1, None), (2, " ")], "doc_id long, text string"), make([], "doc_id long, quality int, toxic int")).collect()
+    assert [(r.tokens, r.rate) for r in blank] == [(0, 1.0), (0, 1.0)]
+
+
+def secrets_corpus(n=300, seed=5):
+    rng = random.Random(seed)
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    out, truth = [], {}
+    for i in range(n):
+        kind = i % 4
+        text = [f'token = "{hexa(40)}" end', f"password={hexa(18)}x9", f"number {rng.randrange(10**15, 10**16)} paid", f"the update_handler_request_{i % 10}_view was called"][kind]
+        out.append((i, f"some words before {text} after", f"src/f{i}.txt"))
+        truth[i] = kind < 2
+    return out, truth
+
+
+def test_secret_scan_removes_false_positives(make):
+    rows, truth = secrets_corpus()
+    got = C.scan_secrets(make(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r.is_secret == truth[r.doc_id] for r in got) / len(got) > 0.95
+    assert all(len(r.value_sha256) == 64 and 0 <= r.score <= 1 for r in got)
+
+
+def test_secret_findings_by_hand(make):
+    docs = make([(1, "x" * 70 + " key: abcDEF0123456789== tail", "a/tests/b"), (2, None, None), (3, "", ""), (4, "short1 words only", "p"), (5, "a1b2c3d4e5f6a7b8c9 and Z9Y8X7W6V5U4T3S2R1", "p")], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.ordinal): r for r in C.findings(docs).collect()}
+    assert {k: r.value for k, r in got.items() if k[0] != 1} == {(5, 0): "a1b2c3d4e5f6a7b8c9", (5, 1): "Z9Y8X7W6V5U4T3S2R1"}
+    assert got[(5, 0)].before == "" and got[(5, 1)].before == " and " and got[(5, 0)].after == " and "
+    assert "abcDEF0123456789==" in {r.value for r in got.values()} and got[(1, max(o for d, o in got if d == 1))].before.endswith(" key: ")
+    f = C.with_features(C.findings(docs)).where("doc_id = 5 and ordinal = 0").first()
+    assert f.length == 18 and abs(f.digits - 0.5) < 1e-9 and abs(f.transitions - 17 / 18) < 1e-9 and f.test_path == 0
+    scored = C.scan_secrets(docs)
+    assert {r.score for r in scored.collect()} == {1.0}  # no label of both kinds: nothing is removed
+    assert C.scan_secrets(make([], "doc_id long, text string, source string")).count() == 0
