@@ -155,7 +155,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     ones before the shuffle.
     """
     tokens = written(_tokens(pages).distinct(), "tokens")
-    hosts = tokens.groupBy("host").agg(F.approx_count_distinct("page", 0.01).alias("pages"))
+    hosts = tokens.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     vector = tokens.groupBy("host", "kind", "path", "token", "depth").agg(
         F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.max("times").alias("most")
     )
