@@ -64,7 +64,7 @@ def link_type_relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve_calls_by_name(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The tiers of plain calls that need no control flow: same file, imported file, exported anywhere.
+    """Two tiers of plain calls: same file, exported anywhere (in any language). The imported file is not a tier yet.
 
     `calls` has id, file_id, callee_name; `symbols` has id, file_id, name, exported; one row per call with `tier`,
     `target_symbol_id`, `confidence`. The first tier with a candidate wins; several candidates in it are ambiguous.
