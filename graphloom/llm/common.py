@@ -15,12 +15,15 @@ ASCII_SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can reach: `spark.checkpoint.dir`.
 
-    Where the session names none (tests, a laptop) a temporary folder is set for the context.
+    Where the session names none, a temporary folder is set for the context on a local master (tests, a laptop). A
+    cluster must name one, as its executors do not share the driver's disk.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir()
     if not isinstance(where, str):
         where = where.get() if where.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-graphloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -38,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written intermediate that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,12 +72,26 @@ def row_order(key: str = "key", rid: str = "rid") -> Column:
 BROADCAST_ROWS = 500_000
 
 
-def without_rows(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """`docs` without the rows whose numbers `drop.rid` holds, where `docs` is a scan that numbers its rows alike each time.
+def numbered(docs: DataFrame) -> DataFrame:
+    """`rid` and `row` (a struct of all columns) for each row of `docs`, written once.
+
+    The number travels with its row: a later job reads it and never numbers a scan again, whose splits would follow
+    the executors that are left. The struct keeps the columns' names apart from those of an operator.
+    """
+    return written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+
+
+def field(name: str) -> Column:
+    """A column of the rows that `numbered` wrote."""
+    return F.col("row").getField(name)
+
+
+def without_rows(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows that `numbered` wrote, without those whose numbers `drop.rid` holds.
 
     Up to BROADCAST_ROWS numbers are broadcast, so that no text is shuffled; beyond that they are joined by a shuffle.
     """
-    drop = written(drop.select(F.col("rid").alias("_rid")), "drop")
+    drop = written(drop.select("rid"), "drop")
     if drop.count() <= BROADCAST_ROWS:
         drop = F.broadcast(drop)
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(drop, "_rid", "left_anti").drop("_rid")
+    return rows.join(drop, "rid", "left_anti").select("row.*")

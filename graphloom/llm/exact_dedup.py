@@ -13,7 +13,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ASCII_SPACE, row_order, text_or_empty, without_rows, written
+from graphloom.llm.common import ASCII_SPACE, discard, field, numbered, row_order, text_or_empty, without_rows, written
 
 #: A chunk ends where ten characters in a row have code points of these parities, once in about a thousand characters
 #: of most texts, so that cuts fall at the same places after an insertion; or else after MAX_CHUNK characters.
@@ -41,8 +41,8 @@ def chunk_id(chunk: Column, seed: int) -> Column:
     return F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), chunk)))
 
 
-def _named_by(identify: Callable[[Column, int], Column], seed: int, chunk: Column) -> Column:
-    return identify(chunk, seed)
+def _named(identify: Callable[[Column, int], Column], seed: int, chunk: Column) -> Column:
+    return F.struct(identify(chunk, seed).alias("id"), chunk.alias("chunk"))
 
 
 def verified_recipes(
@@ -55,26 +55,27 @@ def verified_recipes(
     """`docs` without its text, with `_recipe` (ordered chunk identifiers) and `_sha` (SHA-256 of the normalised text).
 
     The identifiers are verified: all distinct (identifier, chunk) pairs are compared by their bytes, and if two
-    chunks share an identifier, the next seed is taken. So equal recipes mean equal normalised texts.
+    chunks share an identifier, the next seed is taken. So equal recipes mean equal normalised texts. The named chunks
+    are written once, so that no text is normalised and cut twice, and deleted when the recipes are written.
     """
-    cut = docs.select(*[c for c in docs.columns if c != text], normalised(text).alias("_norm"))
+    rest = [c for c in docs.columns if c != text]
+    cut = docs.select(*rest, normalised(text).alias("_norm"))
     for seed in range(seeds):
-        named = cut.withColumn("_chunks", chunks_of(F.col("_norm"), pattern))
-        pairs = named.select(F.explode("_chunks").alias("chunk")).select(identify(F.col("chunk"), seed).alias("id"), "chunk")
+        parts = F.transform(chunks_of(F.col("_norm"), pattern), partial(_named, identify, seed)).alias("_parts")
+        named = written(cut.select(*rest, parts, F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha")), "chunks")
+        pairs = named.select(F.explode("_parts").alias("p")).select("p.id", "p.chunk")
         clashes = pairs.distinct().groupBy("id").count().where("count > 1").limit(1)
         if clashes.isEmpty():
-            return named.select(
-                *[c for c in named.columns if c[0] != "_"],
-                F.transform("_chunks", partial(_named_by, identify, seed)).alias("_recipe"),
-                F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"),
-            )
+            recipes = written(named.select(*rest, F.col("_parts.id").alias("_recipe"), "_sha"), "recipes")
+            discard(named)
+            return recipes
+        discard(named)
     raise ValueError(f"{seeds} seeds all gave two different chunks one identifier")
 
 
-def _grouped(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
-    # A row number breaks ties between rows that repeat a key; the scan is planned the same way each time.
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    light = written(verified_recipes(rows, "text", **how), "recipes").withColumn("order", row_order())
+def _grouped(rows: DataFrame, **how) -> DataFrame:
+    """`rows` has `key`, `text` and `rid`; the row number breaks ties between rows that repeat a key."""
+    light = verified_recipes(rows, "text", **how).withColumn("order", row_order())
     groups = light.groupBy("_recipe").agg(F.min("key").alias("keep_id"), F.min("order").alias("first"), F.count("*").alias("group_size"))
     # Written, so that the join has an exchange of its own on each side and can split the copies of a popular text.
     groups = written(groups.where("group_size > 1"), "groups")
@@ -99,12 +100,18 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     Groups of any size are safe: the smallest key and the size come from a partial aggregation, and the join back
     carries only identifiers, so its hot partitions can be split.
     """
-    return _grouped(docs, key, text, **how).select(F.col("key").alias(key), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    return _grouped(rows, **how).select(F.col("key").alias(key), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
 def exact_dedup_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns: one of each group of equal texts."""
-    return without_rows(docs, _grouped(docs, key, text, **how).where(~F.col("kept")))
+    """The rows of `docs` that stay, with all their columns, whatever their names: one of each group of equal texts.
+
+    Null and empty texts, ties, repeated rows and an empty table are treated as in `exact_dedup`.
+    """
+    rows = numbered(docs)
+    dropped = _grouped(rows.select(field(key).alias("key"), field(text).alias("text"), "rid"), **how).where(~F.col("kept"))
+    return without_rows(rows, dropped)
 
 
 #: DuckDB twin of op9.

@@ -9,26 +9,28 @@ domain, and a step is one aggregation over the written posteriors.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ASCII_SPACE, text_or_empty, written
+from graphloom.llm.common import ASCII_SPACE, discard, text_or_empty, written
 
-#: Target shares of the tokens. Domains come from the labelled table, see `domain_of`.
-TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
-#: The targets are scaled so that this domain keeps its expected tokens, and no rate is below a document's posterior
-#: for it: its documents stay, the others give way.
-ANCHOR = "good"
+#: Target shares of the tokens, of the corpus's present total. Domains come from the labelled table, see `domain_of`.
+#: Against the shares of the given tables they take a third of what is low and a half and more of what is toxic.
+TARGETS = {"good": 0.93, "low": 0.06, "toxic": 0.01}
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hash of their doc_id.
 MAX_TRAINING_ROWS = 8192
 BUCKETS = 4096
 #: The evidence of a text counts as much as that of so many words, which keeps memberships soft on long texts.
 EVIDENCE = 64.0
-RIDGE, MAX_STEPS, TOLERANCE = 1e-4, 40, 1e-6
-#: No document is repeated more often.
-MAX_RATE = 8.0
+RIDGE, MAX_STEPS, TOLERANCE = 1e-6, 60, 1e-5
+#: After so many steps the rates are written, so that a step folds over no more earlier ones.
+FOLD = 10
+
+
+DOMAINS = ("good", "low", "toxic")
 
 
 def domain_of() -> Column:
@@ -45,7 +47,7 @@ def _vector(values) -> Column:
     return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Log priors and per-bucket log likelihoods of each domain, with add-one smoothing.
 
     Labels without both values are left out; of labels that repeat a doc_id the worst counts. What returns to the
@@ -54,9 +56,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_r
     own = labels.where("toxic is not null and quality is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", domain_of().alias("domain"))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
-    counts = np.ones((len(domains), BUCKETS))
-    seen = np.ones(len(domains))
-    at = {d: k for k, d in enumerate(domains)}
+    counts = np.ones((len(DOMAINS), BUCKETS))
+    seen = np.ones(len(DOMAINS))
+    at = {d: k for k, d in enumerate(DOMAINS)}
     got = rows.select("domain", F.explode_outer(_word_buckets(F.col("text"))).alias("b")).groupBy("domain", "b").count().collect()
     for r in got:
         if r.b is not None:
@@ -82,43 +84,69 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
     return out.withColumn("p", F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))).drop("_s", "_e")
 
 
-def rate_of(steps: list[np.ndarray], anchor: int | None = None) -> Column:
-    """The rate after these steps: from 1, each takes the posteriors' product with its direction and projects onto a box.
-
-    The box reaches from the anchor's posterior (0 without one) to MAX_RATE.
-    """
-    least = F.lit(0.0) if anchor is None else F.col("p")[anchor]
+def rate_of(steps: list[np.ndarray], start: Column | None = None) -> Column:
+    """The rate after these steps: each takes the posteriors' product with its direction and projects onto the rates >= 0."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     moves = F.from_json(F.lit(json.dumps([[float(v) for v in s] for s in steps])), "array<array<double>>")
     dot = lambda m: F.aggregate(F.zip_with("p", m, lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(moves, F.lit(1.0), lambda r, m: F.least(F.lit(MAX_RATE), F.greatest(least, r - dot(m))))
+    return F.aggregate(moves, start, lambda r, m: F.greatest(F.lit(0.0), r - dot(m)))
+
 
+@dataclass
+class Fit:
+    """The steps taken, the largest distance of an expected share from its target that is left, and whether they ended there."""
 
-def fit_rates(member: DataFrame, targets: np.ndarray, anchor: int | None, max_steps: int = MAX_STEPS) -> list[np.ndarray]:
-    """Steps of projected gradient on the least squares of (expected domain tokens - targets), in shares of all tokens.
+    steps: list[np.ndarray]
+    residual: float
+    converged: bool
 
-    The squares are weighted by the inverse of the memberships' token-weighted second moments and the documents'
-    coordinates by their tokens, so that the step length 1 is safe.
+
+def fit_rates(member: DataFrame, targets: np.ndarray, max_steps: int = MAX_STEPS) -> Fit:
+    """Projected gradient on the least squares of (expected domain tokens - targets), in shares of all tokens.
+
+    The squares are weighted by the inverse of the token-weighted second moments of the memberships whose rates are not
+    at zero, and the documents' coordinates by their tokens. A step that does not lower the squares is halved. The fit
+    has converged if all shares are within TOLERANCE of their targets, or if no step lowers the squares by a thousandth
+    any more (targets that no rates reach). A step is one aggregation; the driver sees K + K^2 sums of it.
     """
     size = len(targets)
-    second = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(size) for j in range(size)]
-    got = member.agg(F.sum("tokens").alias("tokens"), *second).first()
-    if not got.tokens:
-        return []
-    moments = np.array([[got[f"m{i}_{j}"] for j in range(size)] for i in range(size)]) / got.tokens
-    if anchor is not None and targets[anchor] > 0 and moments[anchor].sum() > 0:
-        targets = targets * (moments[anchor].sum() / targets[anchor])  # the posteriors of a document sum to 1
-    inverse = np.linalg.inv(moments + RIDGE * np.eye(size))
+    total = member.agg(F.sum("tokens").alias("n")).first().n
+    if not total:
+        return Fit([], 0.0, True)
+    state, rate = member.select("tokens", "p"), F.lit(1.0)
+
+    def seen(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The residual, and the moments of the documents that are not at zero."""
+        now = state.select("tokens", "p", rate_of(moves, rate).alias("r"))
+        p, live = F.col("p"), F.when(F.col("r") > 0, F.col("tokens")).otherwise(0)
+        sums = [F.sum(F.col("tokens") * F.col("r") * p[k]).alias(f"s{k}") for k in range(size)]
+        got = now.agg(*sums, *[F.sum(live * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(size) for j in range(i, size)]).first()
+        moments = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)]) / total
+        return np.array([got[f"s{k}"] for k in range(size)]) / total - targets, moments
+
     steps: list[np.ndarray] = []
+    open_steps: list[np.ndarray] = []
+    residual, moments = seen([])
+    scale = 1.0
     for _ in range(max_steps):
-        r = rate_of(steps, anchor)
-        share = member.select("tokens", "p", r.alias("r")).agg(*[F.sum(F.col("tokens") * F.col("r") * F.col("p")[k]).alias(f"s{k}") for k in range(size)]).first()
-        residual = np.array([share[f"s{k}"] for k in range(size)]) / got.tokens - targets
-        if np.abs(residual).max() < TOLERANCE:
-            break
-        steps.append(inverse @ residual)
-    return steps
+        if np.abs(residual).max() <= TOLERANCE or scale < 1 / 64:
+            return Fit(steps, float(np.abs(residual).max()), True)
+        move = scale * np.linalg.solve(moments + RIDGE * np.eye(size), residual)
+        after, active = seen([*open_steps, move])
+        if after @ after > 0.999 * (residual @ residual):
+            scale /= 2
+            continue
+        steps.append(move)
+        open_steps.append(move)
+        residual, moments, scale = after, active, min(1.0, 2 * scale)
+        if len(open_steps) == FOLD:
+            before, state = state, written(state.select("tokens", "p", rate_of(open_steps, rate).alias("r")), "rates")
+            if len(steps) > FOLD:
+                discard(before)
+            rate, open_steps = F.col("r"), []
+    return Fit(steps, float(np.abs(residual).max()), False)
 
 
 def _draw() -> Column:
@@ -126,38 +154,44 @@ def _draw() -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mixing")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _copies(steps: list[np.ndarray], anchor: int | None) -> Column:
-    return F.floor(rate_of(steps, anchor) + _draw())
+def _copies(steps: list[np.ndarray]) -> Column:
+    return F.floor(rate_of(steps) + _draw())
 
 
-def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR) -> DataFrame:
-    """One row per row of `docs`: `doc_id`, `tokens`, one posterior `p_<domain>` a domain, `rate`, `copies`.
+def mixing(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """One row per row of `docs`: `doc_id`, `tokens`, a posterior `p_<domain>` for each domain, `rate`, `copies`, `residual`, `converged`.
 
-    `tokens` counts words between ASCII white space; null and empty texts have none, get the prior as posteriors and
-    the rate that this implies. `copies` is the rate rounded up or down by a hash of doc_id, so that its expectation
-    is the rate. With an `anchor` the targets are shares of such a total that the anchor's tokens stay as they are;
-    without one, of the present total. Targets that the memberships cannot reach are met as nearly as least squares allows; without any
-    token all rates are 1. Repeated rows are rated alike; an empty table gives an empty result.
+    `targets` are shares of the present tokens for each of the domains good, low and toxic; one that is left out is 0.
+    `tokens` counts words between ASCII white space, of the whole text however long; null and empty texts have none, get
+    the prior as posteriors and the rate that this implies. `copies` is the rate rounded up or down by a hash of doc_id,
+    so that its expectation is the rate. Targets that the memberships cannot reach are met as nearly as least squares
+    allows: `residual` is the largest distance of a share from its target, and `converged` says whether the fit ended by
+    itself. Without any token all rates are 1. Repeated rows are rated alike; an empty table gives an empty result.
+    Other columns, whatever their names, are not read.
     """
-    domains, own = list(targets), docs.select("doc_id", "text")
-    member = written(posteriors(own, fit_classifier(own, labels, domains)), "posteriors")
-    at = domains.index(anchor) if anchor in targets else None
-    steps = fit_rates(member, np.array([targets[d] for d in domains]), at)
-    each = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
-    return member.select("doc_id", "tokens", *each, rate_of(steps, at).alias("rate"), _copies(steps, at).alias("copies"))
+    own = docs.select("doc_id", "text")
+    member = written(posteriors(own, fit_classifier(own, labels)), "posteriors")
+    fit = fit_rates(member, _targets(targets))
+    each = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    report = [F.lit(fit.residual).alias("residual"), F.lit(fit.converged).alias("converged")]
+    return member.select("doc_id", "tokens", *each, rate_of(fit.steps).alias("rate"), _copies(fit.steps).alias("copies"), *report)
 
 
-def mixing_resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR) -> DataFrame:
-    """The rows of `docs`, each as often as its copies say (also not at all), with all their columns.
+def mixing_resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of `docs`, each as often as its copies say (also not at all), with all their columns, whatever their names.
 
     The rates are fitted on written posteriors; to apply them, the posteriors are computed again beside the texts,
     which is cheaper than to shuffle these. Cases are as in `mixing`.
     """
-    domains = list(targets)
-    model = fit_classifier(docs, labels, domains)
+    model = fit_classifier(docs, labels)
     member = written(posteriors(docs.select("doc_id", "text"), model), "posteriors")
-    at = domains.index(anchor) if anchor in targets else None
-    steps = fit_rates(member, np.array([targets[d] for d in domains]), at)
+    fit = fit_rates(member, _targets(targets))
     row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    times = posteriors(row, model).select("_row", F.explode(F.array_repeat(F.lit(0), _copies(steps, at).cast("int"))))
+    times = posteriors(row, model).select("_row", F.explode(F.array_repeat(F.lit(0), _copies(fit.steps).cast("int"))))
     return times.select("_row.*")
+
+
+def _targets(targets: dict[str, float]) -> np.ndarray:
+    if unknown := set(targets) - set(DOMAINS):
+        raise ValueError(f"no such domain: {sorted(unknown)}")
+    return np.array([targets.get(d, 0.0) for d in DOMAINS])

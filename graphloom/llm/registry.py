@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    """The key is the session's `spark.graphloom.pii.key`; where it has none, one is drawn for this call and forgotten."""
+    key = spark.conf.get("spark.graphloom.pii.key", None) or token_hex(32)
+    return pii.replace_pii(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

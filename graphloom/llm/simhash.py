@@ -6,6 +6,9 @@ On 31 bits of each triple the perfect Hamming code [31, 26] is the covering code
 every 31-bit word lies within the covering radius 1 of exactly one anchor, its home. A fingerprint is replicated to
 every anchor within radius plus threshold (1 + 1) of it on the triple: 1 or 16 anchors, of 2^26. Two linked
 fingerprints meet at the home of either of them in some triple, and are compared there on all 64 bits.
+
+Growth. Each triple has 2^26 anchors and a fingerprint has 91 rows, so an anchor holds a pair of unrelated fingerprints
+once there are some 10^7 of them; beyond about 10^9 distinct fingerprints CODE_BITS (and the blocks) must grow.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import row_order, shuffle_width, without_rows, written
+from graphloom.llm.common import field, numbered, row_order, shuffle_width, without_rows, written
 from graphloom.llm.components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
@@ -133,9 +136,9 @@ def component_of_prints(prints: DataFrame, max_distance: int = MAX_DISTANCE) ->
     return out.where("fp <> component")
 
 
-def _grouped(docs: DataFrame, key: str, text: str, max_distance: int) -> DataFrame:
-    """`key`, `rid` (row number of the scan), `fp`, `component_id` and `stays` for each row."""
-    own = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("rid"), fingerprints(F.col(text)).alias("fp"))
+def _grouped(rows: DataFrame, max_distance: int) -> DataFrame:
+    """`key`, `rid`, `fp`, `component_id` and `stays` for each of the rows (`key`, `text`, `rid`)."""
+    own = rows.select("key", "rid", fingerprints("text").alias("fp"))
     own = written(own, "fingerprints").withColumn("order", row_order())
     per = own.groupBy("fp").agg(F.min("key").alias("least"), F.min("order").alias("first"))
     per = written(per, "prints")
@@ -155,7 +158,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", max
     aside (null if all keys of a component are null). Repeated rows are returned as often as they came. An empty
     table gives an empty result. Only the two named columns are read.
     """
-    return _grouped(docs, key, text, max_distance).select(
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    return _grouped(rows, max_distance).select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -163,7 +167,8 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", max
 def simhash_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one of each component.
 
-    The row with the smallest key stays (a null key comes last), the first as scanned if rows share that key.
+    The row with the smallest key stays (a null key comes last), the first as written if rows share that key.
     """
-    drop = _grouped(docs, key, text, max_distance).where(~F.col("stays")).select("rid")
-    return without_rows(docs, drop)
+    rows = numbered(docs)
+    own = rows.select(field(key).alias("key"), field(text).alias("text"), "rid")
+    return without_rows(rows, _grouped(own, max_distance).where(~F.col("stays")))

@@ -18,6 +18,8 @@ from graphloom.llm.common import shared_dir
 BITS = 18
 #: The model is fitted on at most so many labelled rows, those with the smallest hash of their doc_id.
 MAX_TRAINING_ROWS = 8192
+#: And of these, in that order, on as many as have so many buckets together, which bounds the learner's memory.
+MAX_TRAINING_BUCKETS = 1 << 26
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 1.0
 #: Buckets that fewer training rows have are not learnt from.
@@ -108,14 +110,21 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: i
             yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "x": [features(t, words).tobytes() for t in b.text]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [(d, x, y) for b in batches for d, x, y in zip(b.doc_id, b.x, b.y, strict=True)]
-        got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))  # the same order whatever the partitions
-        w, bias = ftrl([(np.frombuffer(x, np.uint32), int(y > 0)) for _, x, y in got])
+        got, held = [], 0
+        for b in batches:
+            for x, y in zip(b.x, b.y, strict=True):
+                held += len(x) // 4
+                if held <= MAX_TRAINING_BUCKETS:
+                    got.append((np.frombuffer(x, np.uint32), int(y > 0)))
+        w, bias = ftrl(got)
         at = np.flatnonzero(w)
         yield pd.DataFrame({"bucket": np.append(at, -1), "weight": np.append(w[at], bias)})
 
     found = (
-        rows.mapInPandas(featurise, "doc_id long, y int, x binary").repartition(1).mapInPandas(learn, "bucket int, weight double")
+        rows.mapInPandas(featurise, "doc_id long, y int, x binary")
+        .repartition(1)
+        .sortWithinPartitions(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "x")  # whatever the partitions
+        .mapInPandas(learn, "bucket int, weight double")
     ).toPandas()
     out, bias = np.zeros(1 << BITS, np.float32), float(np.log(1 / 99))
     if len(found):
@@ -142,8 +151,9 @@ def scorer(spark, model: tuple[np.ndarray, float]):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of `docs`: `doc_id`, `held_out`, `score`, `predicted`.
 
-    The whole text counts; labels, source, language and id are not inputs. Null and empty texts get the intercept's
-    score. A null doc_id is not held out. With no label at all every score is 0.01. Repeated rows get equal scores.
+    The whole text counts, however long; labels, source, language and id are not inputs. Null and empty texts get the intercept's
+    score. A null doc_id is not held out. With no label at all every score is 0.01. Repeated rows get equal scores; an
+    empty table gives an empty result. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -154,6 +164,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` whose score is below one half, with all their columns."""
+    """The rows of `docs` whose score is below one half, with all their columns, whatever their names.
+
+    Null and empty texts get the intercept's score and stay; repeated rows stay or go together; an empty table gives
+    an empty result.
+    """
     score = scorer(docs.sparkSession, train(docs, labels))
-    return docs.withColumn("_score", score("text")).where("_score < 0.5").drop("_score")
+    return docs.select(F.struct(*docs.columns).alias("row"), score("text").alias("score")).where("score < 0.5").select("row.*")

@@ -10,21 +10,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphloom.llm.common import fresh_path
+from graphloom.llm.common import fresh_path, written
 
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
 #: An empty gzip member but for its last byte.
 _EMPTY = bytes.fromhex("1f8b08000000000000ff0300") + bytes(7)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MAX_RECORDS_PER_ARCHIVE = 20_000
+#: An archive is closed when it holds so many bytes. A task reads one whole, and Spark's reader takes 2 GB at most.
+ARCHIVE_BYTES = 64 << 20
 
 
 def _sha1(data: bytes) -> str:
@@ -58,30 +59,38 @@ def member(record: bytes) -> bytes:
     return out[:-1] if out[-1] == 0 else out + _EMPTY
 
 
-def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2025-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2025-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per row of `pages` (page_id, url, html) below `path`.
 
     The payload is the html in UTF-8; null is empty. Of equal payloads of at least `min_revisit_bytes` the row with
     the smallest page_id is a response, the others revisit it. A null page_id comes after all others; rows that
     repeat the first row's page_id are responses too, as they are that record. Popular payloads are found from digests
     by partial aggregation; the join that follows can split a hot digest, as its other side has one row for each.
+    An archive (a file below `archive=N/`) ends after `archive_bytes` and the record that crosses them. An empty table
+    leaves a folder without archives; long payloads are one record each; other columns are not read.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("size"))
     firsts = firsts.where(f"n > 1 and size >= {int(min_revisit_bytes)}").select("digest", "first", F.lit(True).alias("again"))
 
-    @F.pandas_udf(T.BinaryType())
-    def build(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for ids, urls, payloads, first, revisit in batches:
-            none = lambda x: None if pd.isna(x) else x
-            yield pd.Series([member(record_bytes(none(i), u, p, none(f), bool(r), date)) for i, u, p, f, r in zip(ids, urls, payloads, first, revisit, strict=True)], dtype=object)
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = lambda x: None if pd.isna(x) else x
+        held = 0
+        for b in batches:
+            made, archive = [], []
+            for i, u, p, f, r in zip(b.page_id, b.url, b.payload, b["first"], b.revisit, strict=True):
+                one = member(record_bytes(none(i), u, p, none(f), bool(r), date))
+                made.append(one)
+                archive.append(held // archive_bytes)
+                held += len(one) + 1
+            yield pd.DataFrame({"archive": archive, "value": made})
 
     joined = rows.join(firsts, "digest", "left")
     revisit = F.coalesce(F.col("again"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    id_type = "long"
-    made = joined.select(build(F.col("page_id").cast(id_type), "url", "payload", F.col("first").cast(id_type), revisit).cast("string").alias("value"))
-    made.write.option("lineSep", "\u0000").option("maxRecordsPerFile", MAX_RECORDS_PER_ARCHIVE).text(path)
+    ready = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "payload", F.col("first").cast("long").alias("first"), revisit.alias("revisit"))
+    made = ready.mapInPandas(build, "archive long, value binary").select("archive", F.col("value").cast("string").alias("value"))
+    made.write.partitionBy("archive").option("lineSep", "\u0000").text(path)
 
 
 def _headers(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
@@ -124,18 +133,22 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | None:
     return {"type": kind, "fields": fields, "payload": payload, "payload_bytes": size}, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at `at` and where it ends, if it is whole."""
-    view, parts, unpack = memoryview(data), [], zlib.decompressobj(31)
-    try:
-        while not unpack.eof:
-            if at >= len(data):
-                return None
-            parts.append(unpack.decompress(view[at : at + 65536]))
-            at += 65536
-    except zlib.error:
-        return None
-    return b"".join(parts), min(at, len(data)) - len(unpack.unused_data) if at <= len(data) else len(data) - len(unpack.unused_data)
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What can be inflated of the gzip member at `at`, where its bytes end, and whether it is whole."""
+    view, parts, unpack, step = memoryview(data), [], zlib.decompressobj(31), 65536
+    while not unpack.eof:
+        if at >= len(data):
+            return b"".join(parts), len(data), False
+        before = unpack.copy()
+        try:
+            parts.append(unpack.decompress(view[at : at + step]))
+        except zlib.error:  # what lies before the fault in this stretch counts, so it is taken in ever smaller steps
+            if step == 1:
+                return b"".join(parts), at, False
+            unpack, step = before, max(1, step // 16)
+            continue
+        at += step
+    return b"".join(parts), min(at, len(data)) - len(unpack.unused_data), True
 
 
 def _plain(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
@@ -159,20 +172,29 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     """("record", begin, end, record) and ("gap", begin, end, reason) that together cover all bytes of an archive.
 
     Begin and end are places in the archive's bytes; those of a record in a member are the member's. A member whose
-    content is damaged is searched for records inside, and then also reported as a gap. Empty members are padding.
+    content is damaged is searched for records inside, and then also reported as a gap. So is a member that is cut or
+    does not inflate to its end: the whole records before the damage are kept, and the search for the next member or
+    version line begins behind its first bytes. Empty members are padding.
     """
     at, bad, why = 0, None, ""
     while at < len(data):
         found = None
         if data.startswith(MAGIC, at):
-            if (member := _inflate(data, at)) is not None:
-                inside = list(_plain(member[0]))
-                if not member[0] or any(k == "record" for k, *_ in inside):
-                    found = [(k, at, member[1], x) for k, _, _, x in inside], member[1]
-                else:
-                    why = why or "no valid record in the member"
+            content, end, whole = _inflate(data, at)
+            inside = list(_plain(content))
+            if whole and (not content or any(k == "record" for k, *_ in inside)):
+                found = [(k, at, end, x) for k, _, _, x in inside], end
             else:
-                why = why or "broken gzip member"
+                why = why or ("no valid record in the member" if whole else "broken gzip member")
+                saved = [x for k, _, _, x in inside if k == "record"]
+                if saved:  # the member's bytes up to the next one hold them, and are a gap as well
+                    if bad is not None and bad < at:
+                        yield "gap", bad, at, why
+                    end = _ahead(data, at + 1)
+                    yield from (("record", at, end, x) for x in saved)
+                    yield "gap", at, end, "broken gzip member"
+                    at, bad, why = end, None, ""
+                    continue
         elif data.startswith(b"WARC/1.", at) and (got := _record(data, at)):
             found = [("record", at, got[1], got[0])], got[1]
         if found:
@@ -183,12 +205,16 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
             at = found[1]
             continue
         bad = at if bad is None else bad
-        ahead = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-        at = min(ahead, default=len(data))
+        at = _ahead(data, at + 1)
     if bad is not None:
         yield "gap", bad, len(data), why or "no member or version line"
 
 
+def _ahead(data: bytes, at: int) -> int:
+    """The next place that looks like a member or a version line."""
+    return min((x for x in (data.find(MAGIC, at), data.find(b"WARC/1.", at)) if x >= 0), default=len(data))
+
+
 FOUND = (
     "archive string, kind string, begin long, end long, reason string, record_type string, record_id string, uri string, "
     "refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -224,12 +250,25 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.mapInPandas(read, FOUND)
 
 
+def log_gaps(found: DataFrame, path: str) -> int:
+    """Write the quarantined byte ranges (archive, begin, end, reason) below `path` as Parquet; how many there are."""
+    found.where("kind = 'gap'").select("archive", "begin", "end", "reason").write.mode("append").parquet(path)
+    return found.sparkSession.read.parquet(path).count()
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the archives to the shared folder, read them back: one row per record, as op1 returns it."""
+    """Write the archives to the shared folder, read them back: one row per record, as op1 returns it.
+
+    Bytes that could not be read are logged beside the archives (`gaps`), and a warning says how many ranges there are.
+    An empty table gives an empty result; cases of rows are as in `write_warc`.
+    """
     path = fresh_path(pages.sparkSession, "warc")
-    write_warc(pages, path)
+    write_warc(pages, f"{path}/archives")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
-    back = read_warc(pages.sparkSession, path, payloads=False).where("kind = 'record'")
+    found = written(read_warc(pages.sparkSession, f"{path}/archives", payloads=False), "records")
+    if gaps := log_gaps(found, f"{path}/gaps"):
+        warnings.warn(f"{gaps} byte ranges of the archives could not be read; see {path}/gaps", stacklevel=2)
+    back = found.where("kind = 'record'")
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 

@@ -149,3 +149,45 @@ def test_components_of_a_long_path_and_a_star(make):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 1)]
     got = {r.node: r.component for r in connected_components(make(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {k: 100 for k in range(101, 160)}
+
+
+def test_rows_keep_their_numbers_when_executors_go(make, spark, tmp_path):
+    """A scan that is split otherwise in a later job still drops, and replaces in, the right rows."""
+    from graphloom.llm import near_copies, pii
+
+    rng = random.Random(9)
+    text = lambda i: " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(30)) + f" m{i}@mail.example.com"
+    texts = [text(i) for i in range(150)]
+    rows = [(i, texts[i % 150], "c") for i in range(300)]
+    make(rows, "doc_id long, text string, rid string").repartition(24).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def during(operator):
+        """Run it with another split of scans from its second job on."""
+        from graphloom.llm import common
+
+        plain, seen = common.written, []
+
+        def changed(df, name):
+            out = plain(df, name)
+            seen.append(name)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", 2 if len(seen) % 2 else 16)
+            return out
+
+        modules = [common, E, S, near_copies, pii]
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 16)
+        try:
+            for m in modules:
+                m.written = changed
+            return operator(docs).collect()
+        finally:
+            for m in modules:
+                m.written = plain
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+    for operator in (E.exact_dedup_filter, S.simhash_filter, near_copies.near_filter):
+        assert sorted(r.doc_id for r in during(operator)) == list(range(150)), operator
+    got = during(lambda d: pii.replace_pii(d, "k"))
+    words = {r.doc_id: r.text.split() for r in got}
+    assert all(words[i][:-1] == texts[i % 150].split()[:-1] and words[i][-1] != texts[i % 150].split()[-1] for i in range(300))
+    assert len({w[-1] for w in words.values()}) == 150 and all(words[i] == words[i + 150] for i in range(150))
