@@ -79,12 +79,14 @@ def tags_of(page: str) -> Iterator[tuple[str, str, str, str]]:
     unclosed: set[str] = set()
     text: list[str] = []
     last = page.rfind(">")
-    while 0 <= (at := page.find("<", at)) < last:
+    while (at := page.find("<", at)) >= 0:
         if page.startswith("<!--", at):
             end = page.find("-->", at + 4)
             text.append(page[begin:at])
             at = begin = len(page) if end < 0 else end + 3
             continue
+        if at > last:
+            break
         tag = _TAG.match(page, at) if broken < MAX_BROKEN else None
         if tag is None:
             tag = _TAG_BLIND.match(page, at)

@@ -135,10 +135,10 @@ def test_template_without_article(make, monkeypatch):
 
 def test_only_the_template_gives_names_a_meaning(make):
     inner = ["<section class='social-policy'><p>S{0}</p></section>", "<div class='news-alert'><p>N{0}</p></div>", "<h2 id='comment-on-rates'>C{0}</h2>", "<div class='sponsored'><p>told once {0}</p></div>"]
-    rows = [(i, f"http://t/{i}", page(i, (inner[i] if i < 4 else "<p>plain</p>").format(i) + f"<div class='share'>tell {i}</div>")) for i in range(9)]
+    rows = [(i, f"http://t/{i}", page(i, (inner[i] if i < 4 else "<p>plain {0}</p>").format(i) + f"<div class='share'>tell {i}</div>")) for i in range(9)]
     rows += [(20, "http://alone/", page(20, inner[3].format(20))), (21, "http://wide/", "<div class='content-with-sidebar'><p>The whole story here.</p></div>")]
     got = {r.page_id: r.text for r in H.extract_main_text(make(rows, "page_id long, url string, html string")).collect()}
-    assert [got[i].split("\n\n")[1:] for i in range(5)] == [["S0"], ["N1"], ["C2"], ["told once 3"], ["plain"]]  # div.share is of the template, and no text
+    assert [got[i].split("\n\n")[1:] for i in range(5)] == [["S0"], ["N1"], ["C2"], ["told once 3"], ["plain 4"]]  # div.share is of the template, and no text
     assert got[20] == "Title 20" and got[21] == "The whole story here."
 
 
@@ -205,9 +205,10 @@ def test_pii(make):
     text = "Mrs Anna Smith (a.b@mail.example.com, A.B@MAIL.EXAMPLE.COM) and Mr. Smith; 4111 1111 1111 1111, 4111-1111-1111-1111, +1 (522) 555-2427, 10.2.3.4 at 8.8.8.8. 123-45-6789 г-н Иван Петров"
     rows = [(1, text, 0), (2, None, 1), (3, "", 2), (4, "nothing here", 3), (4, "mail a.b@mail.example.com", 4), (6, "x " * 50000 + "a.b@mail.example.com", 5)]
     df = make(rows, "doc_id long, text string, rid int")
-    got = sorted(I.replace_pii(df, "k").collect(), key=lambda r: r.rid)
+    out = I.replace_pii(df, "k")
+    got = sorted(out.collect(), key=lambda r: r.rid)
     one = got[0].text
-    assert I.replace_pii(df, "k").columns == ["doc_id", "text", "rid", "n_entities"] and got[0].n_entities == 10
+    assert out.columns == ["doc_id", "text", "rid", "n_entities"] and got[0].n_entities == 10
     for gone in ("Smith", "Anna", "a.b@", "A.B@", "4111 1111", "522", "10.2.3.4", "8.8.8.8", "123-45", "Иван", "Петров"):
         assert gone not in one
     words = one.replace(",", " ").replace(";", " ").split()
@@ -217,7 +218,7 @@ def test_pii(make):
     cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", one)
     assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1].replace("-", "") and cards[0][0] == "4" and luhn(cards[0])
     assert [r.text for r in got[1:4]] == [None, "", "nothing here"] and [r.n_entities for r in got[1:4]] == [0, 0, 0]
-    assert I.replace_pii(df, "k").where("rid = 0").first().text == one != I.replace_pii(df, "other").where("rid = 0").first().text
+    assert I.replace_pii(df.where("rid = 0"), "other").first().text != one
     assert I.replace_pii(make([], "doc_id long, text string"), "k").count() == 0
 
 
@@ -253,16 +254,18 @@ def test_numbers_keep_country_range_and_check_digits(make):
     assert iban != "GB82 WEST 1234 5698 7654 32" and plain[:2] == "GB" and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
-@pytest.mark.parametrize("text", ["u@" + "b." * 20_000 + "com", "a@" * 100_000, "+1" * 100_000, "0 " * 100_000, "1:" * 60_000, ":" * 200_000, "A" * 100_000 + " GB82" * 20_000, "é" * 300_000 + "Dr Xx" * 20_000])
-def test_no_pattern_breaks_on_long_texts(make, text):
-    assert replaced(make, text) is not None
+def test_no_pattern_breaks_on_long_texts(make):
+    texts = ["u@" + "b." * 20_000 + "com", "a@" * 100_000, "+1" * 100_000, "0 " * 100_000, "1:" * 60_000, ":" * 200_000, "A" * 100_000 + " GB82" * 20_000, "é" * 300_000 + "Dr Xx" * 20_000]
+    got = I.replace_pii(make(list(enumerate(texts)), "doc_id int, text string"), "k").collect()
+    assert all(len(r.text) >= len(texts[r.doc_id]) * 0.9 for r in got) and len(got) == len(texts)
 
 
 def test_clashing_names_and_repeated_rows(make):
     rows = [(1, "a@b.example.com", "x", "y", 3), (1, "a@b.example.com", "x", "y", 3), (2, "clean", None, None, None)]
     df = make(rows, "doc_id long, text string, n_entities string, row string, hits int")
-    got = sorted(I.replace_pii(df, "k").collect())
-    assert I.replace_pii(df, "k").columns == ["doc_id", "text", "row", "hits", "n_entities"] and got[0] == got[1] and got[2].text == "clean" and got[0].n_entities == 1
+    out = I.replace_pii(df, "k")
+    got = sorted(out.collect())
+    assert out.columns == ["doc_id", "text", "row", "hits", "n_entities"] and got[0] == got[1] and got[2].text == "clean" and got[0].n_entities == 1
 
 
 def test_surrogates_are_distinct_and_new(make):
