@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 def _ready(spark: SparkSession) -> None:
     """checkpoint() needs a folder: the cluster's `spark.checkpoint.dir`, or a temporary one where none is set."""
     sc = spark.sparkContext
+    if not sc.master.startswith("local") and not sc.getConf().get("spark.checkpoint.dir"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graphloom-"))
 
@@ -26,7 +28,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = Fals
     """
     _ready(edges.sparkSession)
     step = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else edges.select("src", "dst")
-    step = step.where("src is not null and dst is not null").distinct()
+    # Once for all steps: the edges may be a long plan of their own.
+    step = step.where("src is not null and dst is not null").distinct().checkpoint()
     seen = seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = seen
     for d in range(1, max_depth + 1):
@@ -57,6 +60,7 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_
     Of several the path with the smallest node at each hop from the target backwards.
     """
     _ready(edges.sparkSession)
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").checkpoint()
     level = sources.select("node").distinct().withColumns({"hop": F.lit(0), "parent": F.lit(None).cast(edges.schema["src"].dataType)}).checkpoint()
     seen, ends = level, targets.select("node").distinct()
     for hop in range(1, max_hops + 1):
@@ -85,6 +89,7 @@ def call_graph(edges: DataFrame, center: DataFrame, depth: int, per_node: int, r
     _ready(edges.sparkSession)
     a, b = ("dst", "src") if reverse else ("src", "dst")
     top = Window.partitionBy(a).orderBy(F.desc("weight"), b)
+    edges = edges.select("src", "dst", "weight").checkpoint()
     frontier = center.select(F.col("node").alias(a)).distinct().checkpoint()
     seen, out = frontier, None
     for level in range(1, depth + 1):

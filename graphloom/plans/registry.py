@@ -285,10 +285,10 @@ def g18(spark, sf_dir):
 
 
 @query("l9_hidden_coupling", "WITH " + PAIRS.format(least=2, share=0.02) + f""", {EDGES}, n AS (SELECT count(*) AS c FROM commits),
-both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)
-SELECT a, b, together, round(together * c / (p.n * q.n), 6) AS lift FROM pairs2 JOIN own p ON p.file_id = a JOIN own q ON q.file_id = b, n
-WHERE together * c / (p.n * q.n) >= 2 AND NOT EXISTS (SELECT 1 FROM both_ways e WHERE e.src = a AND e.dst = b)
-AND NOT EXISTS (SELECT 1 FROM both_ways e JOIN both_ways g ON e.dst = g.src WHERE e.src = a AND g.dst = b)""")
+both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+cand AS (SELECT a, b, together, together * c / (p.n * q.n) AS lift FROM pairs2 JOIN own p ON p.file_id = a JOIN own q ON q.file_id = b, n WHERE together * c / (p.n * q.n) >= 2),
+near AS (SELECT k.a, k.b FROM cand k JOIN both_ways e ON e.src = k.a AND e.dst = k.b UNION SELECT k.a, k.b FROM cand k JOIN both_ways e ON e.src = k.a JOIN both_ways g ON g.src = e.dst AND g.dst = k.b)
+SELECT k.a, k.b, k.together, round(k.lift, 6) AS lift FROM cand k LEFT JOIN near w ON w.a = k.a AND w.b = k.b WHERE w.a IS NULL""")
 def l9(spark, sf_dir):
     cf, commits, imports = facts(spark, sf_dir, "commit_files", "commits", "imports")
     own = cf.groupBy("file_id").agg(F.count("*").alias("commits"))
@@ -301,10 +301,10 @@ def _bfs_sql(seeds: str, step: str, depth: int) -> str:
 best AS (SELECT seed, node, min(depth) AS depth FROM walk GROUP BY 1, 2)"""
 
 
-@query("k21_io_reach", f"WITH {CALLS}, " + _bfs_sql("SELECT kind AS seed, symbol_id AS node FROM io_sites", "SELECT dst AS a, src AS b FROM call_edges WHERE confidence IN ('exact', 'likely')", 3) + " SELECT node AS symbol_id, seed AS kind, CAST(depth AS INT) AS depth FROM best", True)
+@query("k21_io_reach", f"WITH {CALLS}, " + _bfs_sql("SELECT kind AS seed, symbol_id AS node FROM io_sites", "SELECT dst AS a, src AS b FROM call_edges WHERE confidence IN ('exact', 'likely')", 10) + " SELECT node AS symbol_id, seed AS kind, CAST(depth AS INT) AS depth FROM best", True)
 def k21(spark, sf_dir):
     calls, sites = facts(spark, sf_dir, "calls", "io_sites")
-    return reach.io_reach(link.call_edges(calls), sites, 3)
+    return reach.io_reach(link.call_edges(calls), sites)
 
 
 @query("k22_entry_reach", f"WITH {CALLS}, " + _bfs_sql("SELECT id AS seed, id AS node FROM symbols WHERE name = 'fn_1'", "SELECT src AS a, dst AS b FROM call_edges WHERE confidence IN ('exact', 'likely')", 4)
@@ -316,20 +316,20 @@ def k22(spark, sf_dir):
     return reach.entry_reach(link.call_edges(calls), entries, symbols, 4)
 
 
-@query("k26_test_coverage", f"WITH {CALLS}, " + _bfs_sql("SELECT case_id AS seed, case_id AS node FROM cases", "SELECT src AS a, dst AS b FROM call_edges", 3)
+@query("k26_test_coverage", f"WITH {CALLS}, " + _bfs_sql("SELECT case_id AS seed, case_id AS node FROM cases", "SELECT src AS a, dst AS b FROM call_edges", 4)
        + """, hit AS (SELECT b.node, b.seed, b.depth, row_number() OVER (PARTITION BY b.node ORDER BY b.depth, b.seed) AS k FROM best b JOIN symbols s ON s.id = b.node JOIN files f ON f.id = s.file_id AND f.role = 'source' WHERE b.depth > 0)
 SELECT node AS symbol_id, count(*) AS tests, count(*) FILTER (depth = 1) AS direct, string_agg(CAST(seed AS STRING), ',' ORDER BY k) FILTER (k <= 6) AS nearest FROM hit GROUP BY 1""", True)
 def k26(spark, sf_dir):
     calls, cases, symbols, files = facts(spark, sf_dir, "calls", "cases", "symbols", "files")
     sources = symbols.join(files.where("role = 'source'").select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    return reach.test_coverage(link.call_edges(calls), cases, sources, 3)
+    return reach.test_coverage(link.call_edges(calls), cases, sources)
 
 
-@query("k37_change_impact", f"WITH {CALLS}, " + _bfs_sql("SELECT id AS seed, id AS node FROM symbols WHERE name = 'fn_2'", "SELECT dst AS a, src AS b FROM call_edges", 4)
+@query("k37_change_impact", f"WITH {CALLS}, " + _bfs_sql("SELECT id AS seed, id AS node FROM symbols WHERE name = 'fn_2'", "SELECT dst AS a, src AS b FROM call_edges", 6)
        + " SELECT node AS symbol_id, CAST(min(depth) AS INT) AS depth, count(*) AS changes FROM best WHERE depth > 0 GROUP BY 1", True)
 def k37(spark, sf_dir):
     calls, symbols = facts(spark, sf_dir, "calls", "symbols")
-    return reach.impact(link.call_edges(calls), symbols.where("name = 'fn_2'").select(F.col("id").alias("symbol_id")), 4)
+    return reach.impact(link.call_edges(calls), symbols.where("name = 'fn_2'").select(F.col("id").alias("symbol_id")))
 
 
 @query("k34_call_graph", f"""WITH {EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM edges),
@@ -520,11 +520,11 @@ def g27(spark, sf_dir):
 
 
 @query("k30_public_api_closure", """
-WITH api(file_id) AS (SELECT id FROM files WHERE id % 100 = 3 UNION SELECT i.target_file_id FROM api JOIN imports i ON i.file_id = api.file_id WHERE i.is_type_only AND i.target_file_id % 3 = 0) SELECT file_id FROM api""", True)
+WITH api(file_id) AS (SELECT id FROM files WHERE role = 'config' UNION SELECT i.target_file_id FROM api JOIN imports i ON i.file_id = api.file_id WHERE i.is_type_only AND i.target_file_id IS NOT NULL) SELECT file_id FROM api""", True)
 def k30(spark, sf_dir):
     imports, files = facts(spark, sf_dir, "imports", "files")
-    entries = files.where("id % 100 = 3").select(F.col("id").alias("file_id"))  # entry files by their names
-    return boundary.public_api_files(entries, imports.where("is_type_only and target_file_id % 3 = 0"))
+    entries = files.where("role = 'config'").select(F.col("id").alias("file_id"))  # what manifests name
+    return boundary.public_api_files(entries, imports.where("is_type_only and target_file_id is not null"))
 
 
 @query("n21_forwarders", f"""WITH {CALLS}, one AS (SELECT src, min(dst) AS dst FROM call_edges GROUP BY 1 HAVING count(*) = 1)

@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import dir_of, matches_any
 
 #: Directories that are never entered (fixed values).
-HARD_IGNORED = (".git", ".hg", ".svn", "node_modules", "bower_components", "dist", "build", "out", "target", "coverage", ".next", ".nuxt", ".cache", ".turbo", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", ".idea", ".vscode", "vendor")
+HARD_IGNORED = (
+    ".git", ".hg", ".svn", "node_modules", "bower_components", "jspm_packages", "web_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox",
+    ".gradle", ".idea", ".vscode-test", ".turbo", ".nx", ".cache", ".parcel-cache", ".pnpm-store", "target", ".next", ".nuxt", ".svelte-kit", ".output", "coverage",
+)
 #: Extensions of the languages that are told apart (fixed values).
 LANGUAGES = {
     "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python", "go": "go", "rs": "rust", "java": "java",
