@@ -201,9 +201,12 @@ def solve_patterns(histogram: dict[int, int], capacity: int = CAPACITY, gap: flo
     demand = np.array([histogram[int(k)] for k in lengths], float)
     bound = float(lengths @ demand) / capacity
     columns = np.diag((capacity // lengths).astype(float))
+    inverse = np.diag(1 / (capacity // lengths))
+    amount = inverse @ demand
     for _ in range(max_rounds):
-        inverse = np.linalg.inv(columns)  # afresh each round, so that rounding errors of its updates do not add up
-        amount = np.maximum(inverse @ demand, 0)
+        if np.abs(columns @ amount - demand).max() > 1e-6 * demand.max():  # the updates' rounding errors have added up
+            inverse = np.linalg.inv(columns)
+            amount = np.maximum(inverse @ demand, 0)
         if amount.sum() <= bound * (1 + gap):
             break
         value, patterns = _price_patterns(lengths, inverse.sum(axis=0), capacity, len(lengths))
