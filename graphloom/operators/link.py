@@ -63,22 +63,6 @@ def link_type_relations(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("confidence", grade).drop("n")
 
 
-def resolve_calls_by_name(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Two tiers of plain calls: same file, exported anywhere (in any language). The imported file is not a tier yet.
-
-    `calls` has id, file_id, callee_name; `symbols` has id, file_id, name, exported; one row per call with `tier`,
-    `target_symbol_id`, `confidence`. The first tier with a candidate wins; several candidates in it are ambiguous.
-    """
-    local = calls.join(symbols.select("file_id", F.col("name").alias("callee_name"), F.col("id").alias("sid")), ["file_id", "callee_name"]).select("id", "sid", F.lit(1).alias("tier"))
-    wide = symbols.where("exported").groupBy(F.col("name").alias("callee_name")).agg(F.min("id").alias("sid"), F.count("*").alias("n"))
-    near = local.groupBy("id").agg(F.min("sid").alias("s1"), F.count("*").alias("n1"))
-    out = calls.join(near, "id", "left").join(wide, "callee_name", "left")
-    target = F.coalesce("s1", "sid")
-    tier = F.when(F.col("s1").isNotNull(), 1).when(F.col("sid").isNotNull(), 2)
-    grade = F.when(F.col("n1") == 1, "exact").when(F.col("n1") > 1, "ambiguous").when(F.col("n") == 1, "likely").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
-    return out.select("id", tier.alias("tier"), target.alias("target_symbol_id"), grade.alias("confidence"))
-
-
 def route_segments(route: Column) -> Column:
     """The segments of a route or URL path; parameters (`:id`, `{id}`, `<id>`, numbers) become `*`."""
     path = F.regexp_replace(F.regexp_replace(route, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import boundary, diff, findings, graph, history, link, metrics, reach, search
+from graphloom.operators import boundary, diff, findings, graph, history, link, metrics, reach, resolve, search
 from graphloom.sources.projection import facts, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,14 +117,34 @@ def k2(spark, sf_dir):
 
 
 @query("k5_resolve_plain_calls", """
-WITH l AS (SELECT c.id, min(s.id) AS s1, count(*) AS n1 FROM calls c JOIN symbols s ON s.file_id = c.file_id AND s.name = c.callee_name GROUP BY 1),
-w AS (SELECT name, min(id) AS sid, count(*) AS n FROM symbols WHERE exported GROUP BY 1)
-SELECT c.id, CASE WHEN s1 IS NOT NULL THEN 1 WHEN sid IS NOT NULL THEN 2 END AS tier, coalesce(s1, sid) AS target_symbol_id,
-  CASE WHEN n1 = 1 THEN 'exact' WHEN n1 > 1 THEN 'ambiguous' WHEN n = 1 THEN 'likely' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS confidence
-FROM calls c LEFT JOIN l ON c.id = l.id LEFT JOIN w ON c.callee_name = w.name""")
+WITH needs AS (SELECT DISTINCT c.file_id, callee_name AS name, language, dir_path FROM calls c JOIN files f ON f.id = c.file_id WHERE callee_name IS NOT NULL),
+l AS (SELECT file_id, name, min(id) AS sid, count(*) AS n FROM symbols GROUP BY 1, 2),
+ex AS (SELECT file_id, name, min(id) AS sid FROM symbols WHERE exported GROUP BY 1, 2),
+bound AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, local ORDER BY import_id, imported) AS k FROM bindings) WHERE k = 1),
+step AS (SELECT file_id, local AS name, target_file_id, imported FROM bound WHERE target_file_id IS NOT NULL
+  UNION SELECT s.file_id, x.name, s.target_file_id, x.name FROM stars s CROSS JOIN (SELECT DISTINCT name FROM needs) x),
+open_names AS (SELECT n.* FROM needs n ANTI JOIN l USING (file_id, name)),
+by_import AS (SELECT o.file_id, o.name, b.target_file_id, b.imported, b.external_name FROM open_names o JOIN bound b ON o.file_id = b.file_id AND o.name = b.local),
+by_star AS (SELECT o.file_id, o.name, s.target_file_id FROM open_names o JOIN stars s USING (file_id) WHERE language IN ('python', 'rust')),
+chase AS (SELECT target_file_id AS f0, imported AS n0, target_file_id AS f, imported AS n, 0 AS hop FROM (
+    SELECT target_file_id, imported FROM by_import WHERE target_file_id IS NOT NULL UNION SELECT target_file_id, name FROM by_star)
+  UNION SELECT c.f0, c.n0, s.target_file_id, s.imported, hop + 1 FROM chase c JOIN step s ON s.file_id = c.f AND s.name = c.n
+    ANTI JOIN ex ON ex.file_id = c.f AND ex.name = c.n WHERE hop < 24),
+hit AS (SELECT f0, n0, min_by(sid, hop * 100000000000000 + sid) AS sid FROM chase JOIN ex ON ex.file_id = f AND ex.name = n GROUP BY 1, 2),
+star AS (SELECT b.file_id, b.name, min(h.sid) AS sid, count(DISTINCT h.sid) AS n FROM by_star b JOIN hit h ON h.f0 = target_file_id AND h.n0 = b.name GROUP BY 1, 2),
+pack AS (SELECT dir_path, name, min(s.id) AS sid, count(*) AS n FROM symbols s JOIN files f ON f.id = s.file_id WHERE language = 'go' GROUP BY 1, 2),
+named AS (SELECT o.file_id, o.name,
+  CASE WHEN l.sid IS NOT NULL THEN 'local' WHEN i.external_name IS NOT NULL OR h.sid IS NOT NULL OR t.sid IS NOT NULL THEN 'import' WHEN star.sid IS NOT NULL THEN 'star' WHEN o.language = 'go' AND pack.sid IS NOT NULL THEN 'package' END AS tier,
+  CASE WHEN l.sid IS NOT NULL THEN l.sid WHEN i.external_name IS NOT NULL THEN NULL ELSE coalesce(h.sid, t.sid, star.sid, CASE WHEN o.language = 'go' THEN pack.sid END) END AS target_symbol_id,
+  CASE WHEN l.sid IS NULL THEN i.external_name END AS external_name,
+  CASE WHEN l.n = 1 THEN 'exact' WHEN l.n > 1 THEN 'ambiguous' WHEN i.external_name IS NOT NULL THEN 'external' WHEN h.sid IS NOT NULL THEN 'exact' WHEN t.sid IS NOT NULL THEN 'likely'
+    WHEN star.n = 1 THEN 'likely' WHEN star.n > 1 THEN 'ambiguous' WHEN o.language = 'go' AND pack.n = 1 THEN 'likely' WHEN o.language = 'go' AND pack.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS confidence
+  FROM needs o LEFT JOIN l USING (file_id, name) LEFT JOIN by_import i USING (file_id, name) LEFT JOIN hit h ON h.f0 = i.target_file_id AND h.n0 = i.imported
+  LEFT JOIN l t ON t.file_id = i.target_file_id AND t.name = i.imported AND t.n = 1 LEFT JOIN star USING (file_id, name) LEFT JOIN pack ON pack.dir_path = o.dir_path AND pack.name = o.name)
+SELECT c.id, n.tier, n.target_symbol_id, n.external_name, coalesce(n.confidence, 'unresolved') AS confidence FROM calls c LEFT JOIN named n ON n.file_id = c.file_id AND n.name = c.callee_name""", recursive=True)
 def k5(spark, sf_dir):
-    calls, symbols = facts(spark, sf_dir, "calls", "symbols")
-    return link.resolve_calls_by_name(calls.select("id", "file_id", "callee_name"), symbols)
+    calls, files, symbols, bindings, stars = facts(spark, sf_dir, "calls", "files", "symbols", "bindings", "stars")
+    return resolve.resolve_plain_calls(calls, files, symbols, bindings, stars)
 
 
 @query("f5_longest_prefix_owner", """

@@ -43,6 +43,12 @@ FACTS = {
           'fn_' || CAST(next_supp AS STRING) AS callee_name,
           CASE WHEN next_part IS NULL THEN 'unresolved' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'ambiguous' WHEN l_returnflag = 'A' THEN 'likely' ELSE 'exact' END AS resolution
         FROM sites""",
+    "bindings": """
+        SELECT l_orderkey * 100 + pos AS import_id, l_partkey AS file_id, 'fn_' || CAST(next_supp AS STRING) AS local,
+          CASE WHEN l_linestatus = 'F' AND pos = 2 THEN NULL ELSE next_part END AS target_file_id, 'fn_' || CAST(next_supp AS STRING) AS imported,
+          CASE WHEN l_linestatus = 'F' AND pos = 2 THEN 'library_' || CAST(next_supp AS STRING) END AS external_name
+        FROM sites WHERE next_part IS NOT NULL AND l_returnflag <> 'R'""",
+    "stars": "SELECT DISTINCT l_partkey AS file_id, next_part AS target_file_id FROM sites WHERE pos = 6 AND l_returnflag = 'R' AND next_part IS NOT NULL",
     "io_sites": """
         SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS symbol_id,
           CASE l_suppkey % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'network' WHEN 2 THEN 'filesystem' WHEN 3 THEN 'message-queue' ELSE 'process' END AS kind
