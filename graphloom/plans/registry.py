@@ -361,7 +361,13 @@ def k34(spark, sf_dir):
     return graph.call_graph(link.import_edges(imports), files.where("id = 1").select(F.col("id").alias("node")), 3, 5)
 
 
-@query("k35_shortest_import_path")
+@query("k35_shortest_import_path", f"""WITH {EDGES},
+goal AS (SELECT id AS node FROM files WHERE package = 'brand_2' AND role = 'test'),
+reached AS (SELECT id AS node, 0 AS hop FROM files WHERE package = 'brand_1' AND role = 'config' UNION SELECT e.dst, r.hop + 1 FROM reached r JOIN edges e ON e.src = r.node WHERE r.hop < 8),
+level AS (SELECT node, min(hop) AS hop FROM reached GROUP BY 1),
+path AS (SELECT * FROM (SELECT node, hop FROM level SEMI JOIN goal USING (node) ORDER BY hop, node LIMIT 1)
+  UNION SELECT parent, parent_hop FROM (SELECT l.node AS parent, l.hop AS parent_hop, row_number() OVER (ORDER BY l.node) AS k FROM path p JOIN edges e ON e.dst = p.node JOIN level l ON l.node = e.src AND l.hop = p.hop - 1) WHERE k = 1)
+SELECT CAST(hop AS INT) AS hop, node FROM path""", True)
 def k35(spark, sf_dir):
     imports, files = facts(spark, sf_dir, "imports", "files")
     a = files.where("package = 'brand_1' and role = 'config'").select(F.col("id").alias("node"))
@@ -423,7 +429,14 @@ def m7(spark, sf_dir):
     return diff.diff_keys(big.where("l_shipdate < date '1999-01-01'"), big.where("l_shipdate >= date '1999-01-01'"), ["group_key"])
 
 
-@query("n9_search_bm25")
+@query("n9_search_bm25", """
+WITH raw_tokens AS (SELECT p_partkey AS ref, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS token FROM part),
+t AS (SELECT ref, token, count(*) OVER (PARTITION BY ref) AS length FROM raw_tokens WHERE token <> ''),
+stats AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT ref, length FROM t)),
+hits AS (SELECT ref, length, term, count(*) AS tf FROM t JOIN (SELECT unnest(['red', 'wid']) AS term) q ON starts_with(t.token, q.term) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1)
+SELECT ref, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+FROM hits JOIN df USING (term) CROSS JOIN stats GROUP BY ref HAVING count(*) = 2 ORDER BY score DESC, ref LIMIT 30""")
 def n9(spark, sf_dir):
     facts(spark, sf_dir)
     entries = spark.table("part").select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("label"), F.col("p_type").alias("detail"))
