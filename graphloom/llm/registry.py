@@ -7,7 +7,7 @@ from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, html_extract, mixing, packing, permutation_index, pii, secrets, simhash, toxicity, warc
+from graphloom.llm import exact_dedup, html_extract, mixing, packing, permutation_index, pii, product_codes, secrets, sentence_pieces, simhash, token_alignment, toxicity, warc
 from graphloom.llm.common import table
 
 
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -59,6 +65,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), pieces_path())
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_salvage": op1,
     "op2_simhash_anchor_covering": op2,
@@ -70,9 +88,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing_cutting_stock": op8,
     "op9_exact_dedup_chunk_recipes": op9,
     "op10_html_template_deduction": op10,
+    "op11_sentencepiece_agenda": op11,
+    "op12_cross_tokenizer_alignment": op12,
+    "op13_gnat_product_codes": op13,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_salvage": warc.OP1_SQL,
     "op9_exact_dedup_chunk_recipes": exact_dedup.OP9_SQL,
+    "op13_gnat_product_codes": product_codes.OP13_SQL,
 }
