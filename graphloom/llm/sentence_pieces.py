@@ -10,7 +10,8 @@ is cut there, and the agenda runs once for each distinct stretch that a worker m
 Decoding. Pieces are concatenated, U+2581 becomes a space, one leading space goes, runs of byte pieces become their
 characters, and each byte of no valid character becomes U+FFFD.
 
-Both run in Arrow batches and are checked there, row by row, against the sentencepiece library: a difference fails the job.
+Both run in Arrow batches and are checked there against the sentencepiece library: every unit when a worker first meets it
+(all new units of a batch in one text, which checks the cuts too), and every row's decoded text. A difference fails the job.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Stretches up to SHORT characters are merged ROWS at a time. Between batches at most UNITS units, of at most LONGEST_UNIT
-#: characters each, stay known.
+#: Stretches up to SHORT characters are merged ROWS at a time. Between batches about twice UNITS units, of at
+#: most LONGEST_UNIT characters each, stay known: those of the present generation and of the one before.
 SHORT, ROWS = 32, 20_000
-UNITS, LONGEST_UNIT = 400_000, 64
+UNITS, LONGEST_UNIT = 200_000, 64
 SPACE = "▁"
 #: Field numbers and values of the published model format (fixed values).
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -72,7 +73,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Codec:
     """A vocabulary's encoder and decoder. Only BPE models without character maps, user-defined pieces and space removal."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, check: bool = True):
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
         trainer, normal = (dict(_fields(dict(model).get(k, b""))) for k in (TRAINER, NORMALIZER))
@@ -100,6 +101,14 @@ class Codec:
         else:
             self.stretch = re.compile(f"[{re.escape(''.join(sorted(joined)))}]+|.", re.S)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.apart = next(c for c in map(chr, (10, *range(10), *range(11, 32))) if c not in joined)
+        self.apart_ids = [np.array(self.agenda(c), "<i4").tobytes() for c in (SPACE, self.apart)]
+        self.library = None
+        if check and self.cut_at_spaces:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         # The agendas of many stretches: symbols are piece ids, characters that are no piece have ids from len(pieces) on.
         odd = sorted(joined - self.ids.keys())
         symbol = self.ids | {c: len(self.pieces) + k for k, c in enumerate(odd)}
@@ -148,9 +157,12 @@ class Codec:
         hit = self.pair_keys[at] == key
         return np.where(hit, self.pair_rank[at], np.inf), np.where(hit, self.pair_piece[at], -1)
 
-    def agendas(self, stretches: list[str]) -> list[list[int]]:
-        """`agenda` of many short stretches at once: a row of a matrix holds the pairs of one, a round merges each row's best."""
-        found: list[list[int]] = [[]] * len(stretches)
+    def agendas(self, stretches: list[str]) -> list[bytes]:
+        """`agenda` of many short stretches at once, packed: a row of a matrix holds the pairs of one, a round merges each row's best.
+
+        A result is empty where a symbol is left that is no piece.
+        """
+        found: list[bytes] = [b""] * len(stretches)
         if not stretches:
             return found
         size = np.fromiter(map(len, stretches), np.int64)
@@ -164,8 +176,12 @@ class Codec:
         while len(rows):
             best = rank.argmin(1)
             more = np.isfinite(rank[np.arange(len(rows)), best])
-            for r, ids in zip(rows[~more].tolist(), symbols[~more].tolist(), strict=True):
-                found[r] = ids[: ids.index(-1)]
+            ended = symbols[~more]
+            ended[(ended >= len(self.pieces)).any(1)] = -1
+            ends = 4 * np.cumsum((ended >= 0).sum(1))
+            data = ended[ended >= 0].astype("<i4").tobytes()
+            for r, i, j in zip(rows[~more].tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                found[r] = data[i:j]
             rows, symbols, rank, piece, best = rows[more], symbols[more], rank[more], piece[more], best[more]
             if not len(rows):
                 break
@@ -183,21 +199,35 @@ class Codec:
         return found
 
     def _learn(self, units: set[str]) -> None:
-        """Put the ids of units (whole numbers of stretches) that are not known yet into `known`."""
-        parts = {u: self.stretch.findall(u) for u in units}
-        fresh = sorted({p for ps in parts.values() for p in ps}, key=len)
+        """Put the ids of units that are not known yet into `known`."""
+        parts = [(u, self.stretch.findall(u)) for u in units]
+        fresh = sorted({p for _, ps in parts for p in ps}, key=len)
         short = [p for p in fresh if len(p) <= SHORT and self.symbol_of[ord(p[0])] >= 0]
-        ids = {}
+        ids: dict[str, bytes] = {}
         for k in range(0, len(short), ROWS):
-            block = short[k : k + ROWS]
-            ids |= zip(block, self.agendas(block), strict=True)
-        odd = len(self.pieces)
+            ids |= zip(short[k : k + ROWS], self.agendas(short[k : k + ROWS]), strict=True)
         for p in fresh:
-            if p not in ids or max(ids[p]) >= odd:
-                ids[p] = self.agenda(p)
-        for u, ps in parts.items():
-            got = [i for p in ps for i in ids[p]]
-            self.known[u] = struct.pack(f"<{len(got)}i", *got)
+            if not ids.get(p):
+                ids[p] = struct.pack(f"<{len(got := self.agenda(p))}i", *got)
+        for u, ps in parts:
+            self.known[u] = ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps))
+        if self.library is not None:
+            for k in range(0, len(parts), 200):  # the library's own agenda is fast on short texts
+                self._compare([u for u, _ in parts[k : k + 200]])
+
+    def _compare(self, units: list[str]) -> None:
+        """Hold new units against the library, as one text: a character of no longer piece keeps apart what could merge."""
+        apart, text = self.apart_ids[1], [SPACE, self.apart]
+        want = list(self.apart_ids)
+        for u in units:
+            if u[0] != SPACE or text[-1][-1] == SPACE:
+                text.append(self.apart)
+                want.append(apart)
+            text.append(u)
+            want.append(self.known[u])
+        theirs = self.library.encode("".join(text)[1:].replace(SPACE, " "), num_threads=1)
+        if theirs != np.frombuffer(b"".join(want), "<i4").tolist():
+            raise RuntimeError(f"the agenda and the sentencepiece library differ on one of {len(units)} units")
 
     def units(self, text: str | None) -> list[str]:
         """The normalised text in pieces that no merge spans."""
@@ -215,10 +245,15 @@ class Codec:
         if self.byte_ids is None:
             return [np.array(self.agenda(u[0]) if u else [], "<i4") for u in split]
         if len(self.known) > UNITS:
-            self.known.clear()
-        self._learn(set().union(*split).difference(self.known))
+            self.known, self.older = {}, self.known
+        fresh = set().union(*split).difference(self.known)
+        seen = fresh.intersection(self.older)
+        self.known.update((u, self.older[u]) for u in seen)
+        fresh -= seen
+        long = [u for u in fresh if len(u) > LONGEST_UNIT]
+        self._learn(fresh)
         found = [np.frombuffer(b"".join(map(self.known.__getitem__, u)), "<i4") for u in split]
-        for unit in [u for u in self.known if len(u) > LONGEST_UNIT]:
+        for unit in long:
             del self.known[unit]
         return found
 
@@ -234,48 +269,46 @@ class Codec:
 
 
 @cache
-def codec(path: str) -> Codec:
-    """One for all tasks of a Python worker, so that a task begins with the stretches that earlier ones met."""
-    return Codec(path)
-
+def codec(path: str, check: bool = True) -> Codec:
+    """One for all tasks of a Python worker, so that a task begins with the units that earlier ones met."""
+    return Codec(path, check)
 
-@cache
-def _library(path: str):
-    import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+def slices(texts: pd.Series, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """A batch in runs of texts of about `size` characters in all, so that lists of words stay small."""
+    at = 0
+    length = texts.str.len().fillna(0).cumsum().to_numpy()
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + size, "right")))
+        yield texts.iloc[at:end].tolist()
+        at = end
 
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", check: bool = True) -> DataFrame:
     """`docs` with `pieces`: a struct of `ids` (array of int) and `decoded` (the text that the ids decode to).
 
     Null and empty texts have no ids and decode to ''. White space, U+2581, control characters and strings of special
-    pieces are ordinary text. A text is never cut: very long ones take memory by their own length. Ties of score go
+    pieces are ordinary text. A text is never cut off: very long ones take memory by their own length. Ties of score go
     to the leftmost pair. Repeated rows and keys are kept; an empty table gives an empty result; other columns pass
-    unchanged, but one named `pieces` is replaced. With `check`, each row is compared with the sentencepiece library
-    and a difference fails the job.
+    unchanged, but one named `pieces` is replaced. With `check`, what a worker meets for the first time is encoded by the
+    sentencepiece library too, and each row's ids are decoded by it; a difference fails the job.
     """
 
     @F.pandas_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(model)
+        own = codec(model, check)
         for batch in batches:
-            ids = own.encode(batch.tolist())
-            texts = [own.decode(i.tolist()) for i in ids]
-            if check:
-                _compare(_library(model), batch, ids, texts)
-            yield pd.DataFrame({"ids": ids, "decoded": texts})
+            for texts in slices(batch):
+                ids = own.encode(texts)
+                plain = [i.tolist() for i in ids]
+                decoded = list(map(own.decode, plain))
+                if own.library is not None and [own.library.decode(i) for i in plain] != decoded:
+                    raise RuntimeError("the decoder and the sentencepiece library differ")
+                yield pd.DataFrame({"ids": ids, "decoded": decoded})
 
     return docs.withColumn("pieces", run(F.col(text)))
 
 
-def _compare(library, batch: pd.Series, ids: list[np.ndarray], texts: list[str]) -> None:
-    for text, own, decoded in zip(batch, ids, texts, strict=True):
-        theirs = library.encode(text or "", num_threads=1)
-        if theirs != own.tolist() or library.decode(theirs) != decoded:
-            raise RuntimeError(f"the agenda and the sentencepiece library differ on a text of {len(text or '')} characters")
-
-
 def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, `n_tokens`, `ids_sha256` of the decimal ids joined by commas, `decoded_sha256`. Cases as `encode_decode`."""
     found = encode_decode(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), model)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm import packing
 from graphloom.llm.common import written
-from graphloom.llm.sentence_pieces import SPACE, Codec
+from graphloom.llm.sentence_pieces import SPACE, Codec, slices
 
 #: At most so many pair counts, of the most frequent pairs, are broadcast (16 bytes each).
 POPULAR = 100_000
@@ -40,7 +40,7 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a = packing._Ids(a_path)
         self.a.tokenizer.encode_special_tokens = True
-        self.b = Codec(b_path)
+        self.b = Codec(b_path, check=False)
         back = {chr(c): b for b, c in packing._BYTE_CHARS.items()} | {chr(b): b for b in packing._PRINTABLE}
         with open(a_path, encoding="utf-8") as f:
             entries = json.load(f)
@@ -72,8 +72,9 @@ class Aligner:
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple:
         """n_a, n_b, n_groups, n_links, the written groups, and the distinct id pairs with the number of their links."""
         ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        last_a = np.isin(ends_a, ends_b, assume_unique=False)
-        last_b = np.isin(ends_b, ends_a, assume_unique=False)
+        in_both = np.zeros((2, int(ends_a[-1]) + 1), bool)
+        in_both[0, ends_a] = in_both[1, ends_b] = True
+        last_a, last_b = in_both[1, ends_a], in_both[0, ends_b]
         group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
         in_a, in_b = np.bincount(group_a), np.bincount(group_b)
         before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
@@ -81,19 +82,35 @@ class Aligner:
         order[np.arange(len(a)) + before_b[group_a]] = a + np.where(last_a, self.base[1], self.base[0])
         order[np.arange(len(b)) + (before_a + in_a)[group_b]] = b + np.where(last_b, self.base[3], self.base[2])
         groups = "".join(self.written[order].tolist())[:-1]
-        # A group's links are made from its distinct ids and how often each occurs.
         width = len(self.b_bytes)
-        ka, ta = np.unique(group_a * len(self.a_bytes) + a, return_counts=True)
-        kb, tb = np.unique(group_b * width + b, return_counts=True)
-        ga, da, gb, db = ka // len(self.a_bytes), ka % len(self.a_bytes), kb // width, kb % width
-        size_b = np.bincount(gb)
-        first_b, n = np.cumsum(size_b) - size_b, size_b[ga]
-        at_a = np.repeat(np.arange(len(ka)), n)
-        at_b = first_b[ga[at_a]] + np.arange(len(at_a)) - np.repeat(np.cumsum(n) - n, n)
-        pair, where = np.unique(da[at_a] * width + db[at_b], return_inverse=True)
-        times = np.zeros(len(pair), np.int64)
-        np.add.at(times, where, ta[at_a] * tb[at_b])
-        return len(a), len(b), len(in_a), int((in_a * in_b).sum()), groups, pair // width, pair % width, times
+        single = (in_a == 1) & (in_b == 1)
+        keys = [a[single[group_a]] * width + b[single[group_b]]]
+        times = [np.ones(len(keys[0]), np.int64)]
+        if not single.all():
+            keys.append((got := _links(group_a, a, group_b, b, ~single, width))[0])
+            times.append(got[1])
+        pair, n = _summed(np.concatenate(keys), np.concatenate(times))
+        return len(a), len(b), len(in_a), int((in_a * in_b).sum()), groups, pair // width, pair % width, n
+
+
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(times[order], first) if len(first) else times
+
+
+def _links(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarray, wanted: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of the wanted groups, made from each group's distinct ids and how often they occur: pair keys and counts."""
+    in_a, in_b = wanted[group_a], wanted[group_b]
+    ka, ta = np.unique(group_a[in_a] << 20 | a[in_a], return_counts=True)
+    kb, tb = np.unique(group_b[in_b] << 20 | b[in_b], return_counts=True)
+    ga, gb = ka >> 20, kb >> 20
+    size_b = np.bincount(gb, minlength=len(wanted))
+    n = size_b[ga]
+    at_a = np.repeat(np.arange(len(ka)), n)
+    at_b = (np.cumsum(size_b) - size_b)[ga[at_a]] + np.arange(len(at_a)) - np.repeat(np.cumsum(n) - n, n)
+    return (ka[at_a] & 0xFFFFF) * width + (kb[at_b] & 0xFFFFF), ta[at_a] * tb[at_b]
 
 
 @cache
@@ -106,8 +123,9 @@ def _aligned(a_path: str, b_path: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, none = aligner(a_path, b_path), (0, 0, 0, 0, None, [], [], [])
         for batch in batches:
-            rows = [none if p is None else own.align(*p) for p in own.ids(batch.tolist())]
-            yield pd.DataFrame(rows, columns=_ALIGNED.fieldNames())
+            for part in slices(batch):
+                rows = [none if p is None else own.align(*p) for p in own.ids(part)]
+                yield pd.DataFrame(rows, columns=_ALIGNED.fieldNames())
 
     return run
 
