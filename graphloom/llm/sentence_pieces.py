@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 #: Stretches up to SHORT characters are merged ROWS at a time. Between batches about twice UNITS units, of at
 #: most LONGEST_UNIT characters each, stay known: those of the present generation and of the one before.
 SHORT, ROWS = 32, 20_000
-UNITS, LONGEST_UNIT = 200_000, 64
+UNITS, LONGEST_UNIT = 120_000, 64
 SPACE = "▁"
 #: Field numbers and values of the published model format (fixed values).
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
