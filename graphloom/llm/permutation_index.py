@@ -25,6 +25,8 @@ PIVOTS, DEPTH, POSTED = 512, 128, 20
 #: found: at most SAMPLE vectors, those with the smallest hash of their number. Of vectors whose cosine is at least ALIKE
 #: one stands for all, so that a crowd of near copies fills neither pivots nor a radius. Recall was measured at these values.
 RERANK_SHARE, SAMPLE, ALIKE = 0.12, 4096, 0.9
+#: The radius also keeps so many times k + 1 vectors of the sample: a share of a small table is too few for k neighbours.
+RERANK_LEAST = 8
 #: A vector that at least one in POPULAR rows has (so at most POPULAR vectors), and k + 1 rows, is compared with every
 #: query: its copies alone can be a whole result.
 POPULAR = 512
@@ -121,6 +123,25 @@ def distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return rows, written(one.select(F.col("ids")[0]["rid"].alias("node"), "x", "ids", F.col("y").isNotNull().alias("popular")), "distinct")
 
 
+def _exact(one: DataFrame, asking: DataFrame, n: int, n_asking: int, width: int, k: int) -> DataFrame:
+    """The k nearest of all distinct vectors to each query, found block by block: `query`, `node`, `score`."""
+    blocks, turns = -(-n // ROWS_PER_BLOCK), -(-n_asking // QUERIES_PER_BLOCK)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = one.select(F.lit(False).alias("asks"), "node", "x", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("a"), each(turns).alias("b"))
+    right = asking.select(F.lit(True).alias("asks"), "node", "x", F.pmod(F.xxhash64("node"), F.lit(turns)).cast("int").alias("b"), each(blocks).alias("a"))
+
+    def search(block: pd.DataFrame) -> pd.DataFrame:
+        asks, x, node = block.asks.to_numpy(bool), _padded(block.x, width), block.node.to_numpy(np.int64)
+        out = []
+        for query, q in zip(node[asks], x[asks], strict=True):
+            score = (x[~asks] * q).sum(axis=1)
+            best = np.lexsort((node[~asks], -score))[:k]
+            out.append(pd.DataFrame({"query": query, "node": node[~asks][best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "node": [], "score": []})
+
+    return left.unionByName(right).groupBy("a", "b").applyInPandas(search, "query long, node long, score double")
+
+
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, n_pivots: int = PIVOTS, depth: int = DEPTH, posted: int = POSTED, share: float = RERANK_SHARE
 ) -> DataFrame:
@@ -129,8 +150,8 @@ def nearest(
     Nearness is the largest inner product in double precision on the original vectors; ties go to the smaller vec_id.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without a vec_id.
     Vectors of other lengths count as padded with zeros. Every row is a candidate for every query but itself, rows that
-    repeat a vec_id too: each of them asks and is found as a row of its own. With fewer candidates than k all that are
-    posted with the query are returned. Every row is indexed; only pivots and radii come from a sample.
+    repeat a vec_id too: each of them asks and is found as a row of its own. With fewer candidates than k all are
+    returned: queries that the files leave short of k are compared with all rows, in blocks. Every row is indexed; only pivots and radii come from a sample.
 
     Equal vectors are indexed once and their rows, of which the k + 1 smallest can matter, put back afterwards; so copies
     fill neither a file nor a radius, and the most popular vectors are compared with every query. The blocks of a file have a bounded number of rows and queries. The work grows
@@ -149,7 +170,7 @@ def nearest(
     pivots = sample[:n_pivots]
     depth, posted = min(depth, len(pivots)), min(posted, len(pivots))
     held = place_weights(permutations(sample, pivots, depth), len(pivots), depth)
-    keep = max(1, int(np.ceil(share * len(sample))))
+    keep = min(len(sample), max(int(np.ceil(share * len(sample))), RERANK_LEAST * (k + 1)))
     loud = one.where("popular").select("node", "x").toPandas()  # at most POPULAR
     sent = spark.sparkContext.broadcast((pivots, held, loud.node.to_numpy(np.int64), _padded(loud.x, total.width)))
     width, longest = total.width, total.longest
@@ -202,8 +223,14 @@ def nearest(
     top = lambda n: F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), *n))
     part = part.withColumn("r", top(["node"])).where(F.col("r") <= k + 1).drop("r")
     each_row = part.join(one.select("node", "ids"), "node").select("query", "score", F.inline("ids"))
-    each_row = written(each_row.withColumn("r", top(["vec_id", "rid"])).where(F.col("r") <= k + 1), "near")
+    kept = lambda df: df.withColumn("r", top(["vec_id", "rid"])).where(F.col("r") <= k + 1).drop("r")
+    each_row = written(kept(each_row), "near")
+    found_few = each_row.groupBy("query").count().where(F.col("count") >= min(k + 1, rows.count()))
+    short = written(asking.join(found_few, F.col("node") == F.col("query"), "left_anti"), "short")
+    if n_short := short.count():
+        every_row = _exact(one, short, total.n, n_short, width, k + 1).join(one.select("node", "ids"), "node").select("query", "score", F.inline("ids"))
+        each_row = each_row.join(short.select(F.col("node").alias("query")), "query", "left_anti").unionByName(written(kept(every_row), "whole"))
     asked = queries.select(F.col("rid").alias("own"), F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
-    out = asked.join(each_row.drop("r"), "query").where("own <> rid")
+    out = asked.join(each_row, "query").where("own <> rid")
     best = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "rid")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

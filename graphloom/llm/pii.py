@@ -29,16 +29,18 @@ SSN = r"(?=\d)(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 IBAN = r"(?=[A-Z]{2}\d)(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])"
 #: 16 digits, or 13 to 19 that pass the check sum (others are left as they are).
 CARD = r"(?=\d)(?<![\d+])\d(?:[ \-]?\d){12,18}(?!\d)"
+#: The groups that cards are printed in, or none. These go before phones, which could take a part of them.
+CARD_GROUPS = r"(?=[1-9])(?<![\d+])(?:\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{1,4}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{4,5})(?![ \-]?\d)"
 CARD16 = r"\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}"
 #: With a country code 8 to 15 digits in groups; with a trunk zero 9 to 12 in groups; or groups as in North America.
 PHONE = (
     r"(?=\+\d)(?<![\d+])\+(?=(?:[ .\-()/]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ .\-/]{0,1}\(?\d{1,12}\)?){1,6}(?!\d)"
     r"|(?=0\d)(?<![\d+.])(?!\d\d[.\-/]\d\d[.\-/]\d{4})(?=\d(?:[ .\-/]?\d){8,11}(?!\d))0\d{1,4}[ .\-/]\d{2,8}(?:[ .\-]\d{2,4}){0,4}(?!\d)"
-    r"|(?=[\d(])(?<![\d+])(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{4}(?!\d)"
+    r"|(?=[\d(])(?<![\d+])(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]?\d{4}(?!\d|[ \-]\d{4}(?!\d))"
 )
 NAME = rf"(?=\p{{Lu}})(?<= )(?<=\b(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'\-]{{1,40}}+(?: \p{{Lu}}[\p{{L}}'\-]{{1,40}}+)?"
 #: The order decides where patterns overlap.
-PATTERNS = {"email": EMAIL, "ipv6": IPV6, "ip": IP, "ssn": SSN, "iban": IBAN, "phone": PHONE, "card": CARD, "name": NAME}
+PATTERNS = {"email": EMAIL, "ipv6": IPV6, "ip": IP, "ssn": SSN, "iban": IBAN, "printed card": CARD_GROUPS, "phone": PHONE, "card": CARD, "name": NAME}
 ENTITY = "|".join(PATTERNS.values())
 #: What every text with an entity holds; texts without it need no further look.
 HINT = rf"[0-9@]|\b(?:{_TITLE})\b"
@@ -103,7 +105,7 @@ def find_entities(texts: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
         if name != "name":
-            kind = F.when(F.col("surface").rlike(f"^(?:{pattern})$"), name).otherwise(kind)
+            kind = F.when(F.col("surface").rlike(f"^(?:{pattern})$"), name.split()[-1]).otherwise(kind)
     called = lambda titles: before.rlike(rf"\b(?:{titles})\.? $")
     gender = F.when(called(FEMALE), "given_f").when(called(MALE), "given_m").otherwise("given_n")
     each = each.select("rid", "pos", "surface", kind.alias("type"), gender.alias("gender"))
@@ -155,7 +157,7 @@ def surrogate(key: str) -> Column:
     head = F.when(fixed == "", F.concat(_pick_of(PUBLIC, number(F.lit(0))).cast("string"), F.lit("."), octet(1))).when(F.instr(fixed, ".") > 0, fixed)
     ip = F.concat_ws(".", F.coalesce(head, F.concat(fixed, F.lit("."), octet(1))), octet(2), octet(3))
     hexed = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(_pick("123456789abcdef", number(i)))), "")
-    scope = F.regexp_extract(canon, r"^(?:fe[89ab]|f[cd])", 0)
+    scope = F.regexp_extract(canon, r"^(?:fe80::?|fe[89ab]|f[cd])", 0)
     ipv6 = F.when(canon == "::1", canon).otherwise(F.concat(scope, F.substring(hexed, F.length(scope) + 1, F.length(canon))))
 
     kept = F.concat(F.substring(canon, 1, 1), F.substring(mapped, F.lit(2), F.length(canon)))

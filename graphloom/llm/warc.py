@@ -171,10 +171,9 @@ def _plain(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     """("record", begin, end, record) and ("gap", begin, end, reason) that together cover all bytes of an archive.
 
-    Begin and end are places in the archive's bytes; those of a record in a member are the member's. A member whose
-    content is damaged is searched for records inside, and then also reported as a gap. So is a member that is cut or
-    does not inflate to its end: the whole records before the damage are kept, and the search for the next member or
-    version line begins behind its first bytes. Empty members are padding.
+    Begin and end are places in the archive's bytes; those of a record in a whole member are the member's. A member that
+    is cut or does not inflate to its end is searched for whole records: they have the bytes that were read until they
+    were complete, only the other bytes up to the next member or version line are a gap. Empty members are padding.
     """
     at, bad, why = 0, None, ""
     while at < len(data):
@@ -186,13 +185,16 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
                 found = [(k, at, end, x) for k, _, _, x in inside], end
             else:
                 why = why or ("no valid record in the member" if whole else "broken gzip member")
-                saved = [x for k, _, _, x in inside if k == "record"]
-                if saved:  # the member's bytes up to the next one hold them, and are a gap as well
+                if any(k == "record" for k, *_ in inside):
                     if bad is not None and bad < at:
                         yield "gap", bad, at, why
                     end = _ahead(data, at + 1)
-                    yield from (("record", at, end, x) for x in saved)
-                    yield "gap", at, end, "broken gzip member"
+                    for (kind, _, _, x), to in zip(inside, _read_for(data, at, end, [e for _, _, e, _ in inside]), strict=True):
+                        if kind == "record" or at < to:
+                            yield kind, at, to, x
+                        at = to
+                    if at < end:
+                        yield "gap", at, end, "broken gzip member"
                     at, bad, why = end, None, ""
                     continue
         elif data.startswith(b"WARC/1.", at) and (got := _record(data, at)):
@@ -210,6 +212,21 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         yield "gap", bad, len(data), why or "no member or version line"
 
 
+def _read_for(data: bytes, at: int, end: int, wanted: list[int], step: int = 1) -> list[int]:
+    """How far a member that begins at `at` is read until its content has each of the wanted lengths; `end` at most."""
+    inflater, length, found = zlib.decompressobj(31), 0, []
+    for begin in range(at, end, step):
+        if len(found) == len(wanted):
+            break
+        try:
+            length += len(inflater.decompress(data[begin : min(begin + step, end)]))
+        except zlib.error:
+            break
+        while len(found) < len(wanted) and length >= wanted[len(found)]:
+            found.append(min(begin + step, end))
+    return found + [end] * (len(wanted) - len(found))
+
+
 def _ahead(data: bytes, at: int) -> int:
     """The next place that looks like a member or a version line."""
     return min((x for x in (data.find(MAGIC, at), data.find(b"WARC/1.", at)) if x >= 0), default=len(data))

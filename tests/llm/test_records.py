@@ -208,7 +208,7 @@ def test_pii(make):
     out = I.replace_pii(df, "k")
     got = sorted(out.collect(), key=lambda r: r.rid)
     one = got[0].text
-    assert out.columns == ["doc_id", "text", "rid", "n_entities"] and got[0].n_entities == 10
+    assert out.columns == ["doc_id", "text", "rid", "n_entities"] and got[0].n_entities == 3 + 2 + 2 + 1 + 2 + 1  # names, mail, cards, phone, addresses, SSN
     for gone in ("Smith", "Anna", "a.b@", "A.B@", "4111 1111", "522", "10.2.3.4", "8.8.8.8", "123-45", "Иван", "Петров"):
         assert gone not in one
     words = one.replace(",", " ").replace(";", " ").split()
@@ -381,6 +381,38 @@ def test_nearest_cases(make):
     assert P.nearest(make([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [15, 50, 100, 200, 500])
+def test_small_tables_give_whole_results(make, n):
+    x = np.random.default_rng(n).normal(size=(n, 32))
+    got = {}
+    for r in P.nearest(make([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    recall = []
+    for q in range(0, n, 20):
+        score = (x * x[q]).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(n), -score)) if i != q][:20]
+        assert len(got[q]) == len(set(got[q])) == min(20, n - 1)
+        recall.append(len(set(got[q]) & set(want)) / len(want))
+    assert np.mean(recall) >= 0.9
+
+
+def test_cards_in_all_groupings_leave_no_digits(make):
+    rng = random.Random(4)
+    for groups in ((4, 4, 4, 4), (16,), (4, 6, 5), (15,), (4, 4, 4, 4, 3), (13,)):
+        for sep in " -":
+            digits = [rng.randrange(1, 10) for _ in range(sum(groups) - 1)]
+            odd = sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(reversed(digits)))
+            digits = "".join(map(str, [*digits, -odd % 10]))
+            at, parts = 0, []
+            for g in groups:
+                parts.append(digits[at : at + g])
+                at += g
+            got = replaced(make, f"pay {sep.join(parts)} now, or {digits}; call 555-242-7000 555-242-7001")
+            assert digits[-4:] not in re.sub(r"\D", "", got.split("call")[0])[len(digits) - 4 : len(digits)] and "242-7000" not in got
+            first, second = got.removeprefix("pay ").split("; call")[0].split(" now, or ")
+            assert re.sub(r"\D", "", first) == second != digits and re.sub(r"\d", "0", first) == sep.join("0" * g for g in groups)
+
+
 def test_footrule_gain_by_brute_force():
     rng = np.random.default_rng(1)
     lists = np.array([rng.permutation(9)[:4] for _ in range(12)])
