@@ -21,6 +21,13 @@ def _ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graphloom-"))
 
 
+def once(*facts: DataFrame) -> list[DataFrame]:
+    """The facts, each computed once and kept in the checkpoint folder, for operators that read them many times."""
+    for spark in {f.sparkSession for f in facts}:
+        _ready(spark)
+    return [f.checkpoint() for f in facts]
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = False) -> DataFrame:
     """`seed`, `node`, `depth` (least) for all nodes within `max_depth` steps of each seed, seeds included at 0.
 

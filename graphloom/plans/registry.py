@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import boundary, diff, findings, graph, history, link, metrics, reach, resolve, search
+from graphloom.operators import boundary, diff, findings, graph, history, link, methods, metrics, reach, resolve, search
 from graphloom.sources.projection import facts, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,61 @@ def k5(spark, sf_dir):
     return resolve.resolve_plain_calls(calls, files, symbols, bindings, stars)
 
 
+@query("k4_resolve_method_calls", """
+WITH needs AS (SELECT DISTINCT c.file_id, s.container AS host, receiver, regexp_extract(receiver, '^(.*?)(?:\\.|::|$)', 1) AS head, callee_name AS name,
+    receiver IN ('this', 'self', 'Self', 'cls') AS is_self, receiver IN ('super', 'super()') AS is_super FROM method_calls c LEFT JOIN symbols s ON s.id = c.caller_symbol_id
+  WHERE callee_name IS NOT NULL AND receiver <> ''),
+owned AS (SELECT s.id, s.file_id, s.name, s.container AS owner, f.language, f.dir_path, f.package FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.container IS NOT NULL),
+placed AS (SELECT t.id AS type_id, t.file_id, t.name AS owner, f.language, f.dir_path, f.package FROM types t JOIN files f ON f.id = t.file_id),
+near AS (SELECT type_id, o.name, max(o.id) AS id FROM placed p JOIN owned o ON o.file_id = p.file_id AND o.owner = p.owner GROUP BY 1, 2),
+afar AS (SELECT type_id, o.name, max(o.id) AS id FROM placed p JOIN owned o ON o.owner = p.owner AND o.language = p.language AND (p.language = 'go' AND o.dir_path = p.dir_path OR p.language = 'rust' AND o.package = p.package) GROUP BY 1, 2),
+has AS (SELECT * FROM near UNION ALL SELECT a.* FROM afar a ANTI JOIN near n ON n.type_id = a.type_id AND n.name = a.name),
+impl AS (SELECT p.parent_id AS type_id, h.name, min(h.id) AS id, count(DISTINCT h.id) AS n FROM (SELECT DISTINCT type_id, parent_id FROM parents) p JOIN has h USING (type_id) WHERE p.parent_id IN (SELECT id FROM types WHERE kind = 'interface') GROUP BY 1, 2),
+answer AS (SELECT h.type_id, h.name, h.id, 1 AS n, 'exact' AS confidence FROM has h JOIN types t ON t.id = h.type_id WHERE t.kind <> 'interface'
+  UNION ALL SELECT type_id, name, id, n, CASE WHEN n = 1 THEN 'likely' ELSE 'ambiguous' END FROM impl
+  UNION ALL SELECT h.type_id, h.name, h.id, 1, 'likely' FROM has h JOIN types t ON t.id = h.type_id ANTI JOIN impl i ON i.type_id = h.type_id AND i.name = h.name WHERE t.kind = 'interface'),
+host_type AS (SELECT file_id, name AS host, min(id) AS type_id FROM types GROUP BY 1, 2),
+wanted AS (SELECT DISTINCT type_id, n.name FROM needs n JOIN host_type USING (file_id, host) WHERE is_self OR is_super),
+up AS (SELECT DISTINCT type_id AS start, type_id, CAST(NULL AS VARCHAR) AS external_name, CAST([] AS INT[]) AS path FROM wanted
+  UNION ALL SELECT u.start, p.parent_id, p.external_name, list_append(u.path, p.ordinal) FROM up u JOIN parents p ON p.type_id = u.type_id WHERE len(u.path) < 6 AND (p.parent_id IS NULL OR p.parent_id <> p.type_id)),
+met AS (SELECT w.type_id, w.name, u.path, CASE WHEN u.type_id IS NOT NULL THEN a.id END AS id, CASE WHEN u.type_id IS NULL THEN 0 ELSE a.n END AS n, u.external_name, CASE WHEN u.type_id IS NULL THEN 'external' ELSE a.confidence END AS confidence
+  FROM wanted w JOIN up u ON u.start = w.type_id AND len(u.path) > 0 LEFT JOIN answer a ON a.type_id = u.type_id AND a.name = w.name WHERE u.type_id IS NULL OR a.id IS NOT NULL),
+above AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY type_id, name ORDER BY path, id) = 1),
+bound AS (SELECT * FROM owner_bindings QUALIFY row_number() OVER (PARTITION BY file_id, local ORDER BY import_id, imported) = 1),
+whole AS (SELECT n.*, CASE WHEN a.file_id IS NOT NULL THEN a.target_file_id ELSE b.target_file_id END AS tf, CASE WHEN a.file_id IS NOT NULL THEN a.imported ELSE b.imported END AS imported,
+    CASE WHEN a.file_id IS NOT NULL THEN a.external_name ELSE b.external_name END AS ext, a.file_id IS NOT NULL OR b.file_id IS NOT NULL AS is_bound
+  FROM needs n LEFT JOIN bound a ON a.file_id = n.file_id AND a.local = n.receiver LEFT JOIN bound b ON b.file_id = n.file_id AND b.local = n.head),
+ex AS (SELECT file_id, name, min(id) AS sid FROM symbols WHERE exported GROUP BY 1, 2),
+module AS (SELECT DISTINCT tf AS f0, name, tf AS f, 0 AS hop FROM whole WHERE imported = '*' AND tf IS NOT NULL
+  UNION SELECT m.f0, m.name, s.target_file_id, hop + 1 FROM module m JOIN stars s ON s.file_id = m.f ANTI JOIN ex ON ex.file_id = m.f AND ex.name = m.name WHERE hop < 24),
+module_hit AS (SELECT f0, m.name, min_by(sid, hop * 100000000000000 + sid) AS sid FROM module m JOIN ex ON ex.file_id = f AND ex.name = m.name GROUP BY 1, 2),
+sole AS (SELECT file_id, owner, name, min(id) AS sid FROM owned GROUP BY 1, 2, 3 HAVING count(*) = 1),
+chase AS (SELECT DISTINCT tf AS f0, imported AS o0, name, tf AS f, imported AS o, 0 AS hop FROM whole WHERE imported <> '*' AND tf IS NOT NULL AND NOT contains(receiver, '.')
+  UNION SELECT c.f0, c.o0, c.name, s.f1, coalesce(s.o1, c.o), hop + 1 FROM chase c
+    JOIN (SELECT file_id, local, target_file_id AS f1, imported AS o1 FROM bound WHERE target_file_id IS NOT NULL AND imported <> '*' UNION ALL SELECT file_id, NULL, target_file_id, NULL FROM stars) s ON s.file_id = c.f AND coalesce(s.local, c.o) = c.o
+    ANTI JOIN sole ON sole.file_id = c.f AND sole.owner = c.o AND sole.name = c.name WHERE hop < 24),
+owner_hit AS (SELECT f0, o0, c.name, min_by(sid, hop * 100000000000000 + sid) AS sid FROM chase c JOIN sole ON sole.file_id = f AND sole.owner = o AND sole.name = c.name GROUP BY 1, 2, 3),
+sees AS (SELECT file_id, name AS owner FROM types UNION SELECT file_id, local FROM bound),
+visible AS (SELECT n.file_id, n.name, min(o.id) AS sid, least(count(DISTINCT o.id), 16) AS n FROM (SELECT DISTINCT file_id, name FROM needs) n JOIN sees USING (file_id) JOIN owned o ON o.owner = sees.owner AND o.name = n.name GROUP BY 1, 2),
+mine AS (SELECT file_id, owner, name, min(id) AS sid, count(*) AS n FROM owned GROUP BY 1, 2, 3),
+joined AS (SELECT w.*, m.sid AS self_id, a.id AS up_id, a.n AS up_n, a.external_name AS up_ext, a.confidence AS up_grade, mh.sid AS module_id, CASE WHEN NOT is_bound THEN h.sid WHEN imported <> '*' THEN oh.sid END AS owner_id, v.sid AS seen_id, v.n AS seen_n
+  FROM whole w LEFT JOIN mine m ON m.file_id = w.file_id AND m.owner = w.host AND m.name = w.name LEFT JOIN host_type t ON t.file_id = w.file_id AND t.host = w.host LEFT JOIN above a ON a.type_id = t.type_id AND a.name = w.name
+  LEFT JOIN module_hit mh ON mh.f0 = w.tf AND mh.name = w.name AND w.imported = '*' LEFT JOIN owner_hit oh ON oh.f0 = w.tf AND oh.o0 = w.imported AND oh.name = w.name
+  LEFT JOIN mine h ON h.file_id = w.file_id AND h.owner = w.receiver AND h.name = w.name AND h.n = 1 LEFT JOIN visible v ON v.file_id = w.file_id AND v.name = w.name),
+tiers AS (SELECT *, CASE WHEN is_self AND self_id IS NOT NULL THEN 'self' WHEN (is_self OR is_super) AND up_grade IS NOT NULL THEN 'inherited' WHEN imported = '*' AND (ext IS NOT NULL OR module_id IS NOT NULL) THEN 'namespace'
+  WHEN NOT contains(receiver, '.') AND owner_id IS NOT NULL THEN 'owner' WHEN seen_id IS NOT NULL THEN 'visible' END AS tier FROM joined),
+decided AS (SELECT file_id, host, receiver, name, tier,
+  CASE tier WHEN 'self' THEN self_id WHEN 'inherited' THEN up_id WHEN 'namespace' THEN CASE WHEN ext IS NULL THEN module_id END WHEN 'owner' THEN owner_id WHEN 'visible' THEN seen_id END AS target_symbol_id,
+  CASE tier WHEN 'inherited' THEN up_ext WHEN 'namespace' THEN ext END AS external_name,
+  CASE tier WHEN 'self' THEN 'exact' WHEN 'inherited' THEN up_grade WHEN 'namespace' THEN CASE WHEN ext IS NULL THEN 'exact' ELSE 'external' END WHEN 'owner' THEN 'exact' WHEN 'visible' THEN CASE WHEN seen_n = 1 THEN 'likely' ELSE 'ambiguous' END ELSE 'unresolved' END AS confidence,
+  CASE tier WHEN 'self' THEN 1 WHEN 'inherited' THEN least(up_n, 16) WHEN 'namespace' THEN CASE WHEN ext IS NULL THEN 1 ELSE 0 END WHEN 'owner' THEN 1 WHEN 'visible' THEN seen_n ELSE 0 END AS candidates FROM tiers)
+SELECT c.id, d.tier, d.target_symbol_id, d.external_name, coalesce(d.confidence, 'unresolved') AS confidence, CAST(coalesce(d.candidates, 0) AS BIGINT) AS candidates
+FROM method_calls c LEFT JOIN symbols s ON s.id = c.caller_symbol_id LEFT JOIN decided d ON d.file_id = c.file_id AND d.host IS NOT DISTINCT FROM s.container AND d.receiver = c.receiver AND d.name = c.callee_name""", recursive=True)
+def k4(spark, sf_dir):
+    names = ("method_calls", "files", "symbols", "types", "parents", "owner_bindings", "stars")
+    return methods.resolve_method_calls(*graph.once(*facts(spark, sf_dir, *names)))  # each is read by several steps
+
+
 @query("f5_longest_prefix_owner", """
 WITH o AS (SELECT DISTINCT package AS dir, package AS owner FROM files UNION ALL SELECT DISTINCT dir_path, dir_path FROM files WHERE length(dir_path) % 2 = 0)
 SELECT f.path, max_by(o.owner, length(o.dir)) AS owner FROM files f LEFT JOIN o ON f.path LIKE replace(o.dir, '_', '\\_') || '/%' ESCAPE '\\' GROUP BY 1""")

@@ -49,6 +49,27 @@ FACTS = {
           CASE WHEN l_linestatus = 'F' AND pos = 2 THEN 'library_' || CAST(next_supp AS STRING) END AS external_name
         FROM sites WHERE next_part IS NOT NULL AND l_returnflag <> 'R'""",
     "stars": "SELECT DISTINCT l_partkey AS file_id, next_part AS target_file_id FROM sites WHERE pos = 6 AND l_returnflag = 'R' AND next_part IS NOT NULL",
+    "types": """
+        SELECT DISTINCT file_id * 10 + CAST(substr(container, 7) AS BIGINT) AS id, file_id, container AS name,
+          CASE CAST(substr(container, 7) AS BIGINT) % 3 WHEN 2 THEN 'interface' ELSE 'class' END AS kind
+        FROM symbols WHERE container IS NOT NULL""",
+    "parents": """
+        SELECT type_id, CAST(k - 1 AS INT) AS ordinal, CASE WHEN parent_id % 11 <> 0 THEN parent_id END AS parent_id,
+          CASE WHEN parent_id % 11 = 0 THEN 'library_' || CAST(parent_id % 7 AS STRING) END AS external_name
+        FROM (SELECT type_id, parent_id, row_number() OVER (PARTITION BY type_id ORDER BY parent_id) AS k FROM (
+          SELECT DISTINCT a.id AS type_id, b.id AS parent_id FROM sites s JOIN types a ON a.id = s.l_partkey * 10 + s.l_suppkey % 7
+            JOIN types b ON b.id = s.next_part * 10 + s.next_supp % 7) pairs) ranked WHERE k <= 2""",
+    "method_calls": """
+        SELECT l_orderkey * 100 + pos AS id, l_partkey AS file_id, l_partkey * 1000000 + l_suppkey AS caller_symbol_id, 'fn_' || CAST(next_supp AS STRING) AS callee_name,
+          CASE l_orderkey % 5 WHEN 0 THEN 'self' WHEN 1 THEN 'super' WHEN 2 THEN 'Owner_' || CAST(next_supp % 7 AS STRING) WHEN 3 THEN 'lib_' || CAST(next_supp % 3 AS STRING) ELSE 'value.at' END AS receiver
+        FROM sites WHERE next_part IS NOT NULL""",
+    "owner_bindings": """
+        SELECT l_orderkey * 100 + pos AS import_id, l_partkey AS file_id,
+          CASE WHEN pos % 3 = 0 THEN 'lib_' || CAST(next_supp % 3 AS STRING) ELSE 'Owner_' || CAST(next_supp % 7 AS STRING) END AS local,
+          CASE WHEN pos % 3 <> 0 OR l_returnflag = 'A' THEN next_part END AS target_file_id,
+          CASE WHEN pos % 3 = 0 THEN '*' ELSE 'Owner_' || CAST((next_supp + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) % 7 AS STRING) END AS imported,
+          CASE WHEN pos % 3 = 0 AND l_returnflag <> 'A' THEN 'library_' || CAST(next_supp AS STRING) END AS external_name
+        FROM sites WHERE next_part IS NOT NULL""",
     "io_sites": """
         SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS symbol_id,
           CASE l_suppkey % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'network' WHEN 2 THEN 'filesystem' WHEN 3 THEN 'message-queue' ELSE 'process' END AS kind
