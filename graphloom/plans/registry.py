@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import boundary, diff, findings, graph, history, link, methods, metrics, reach, resolve, search
+from graphloom.operators import boundary, diff, findings, graph, history, ignore, link, methods, metrics, reach, resolve, search
 from graphloom.sources.projection import facts, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +147,15 @@ def k5(spark, sf_dir):
     return resolve.resolve_plain_calls(calls, files, symbols, bindings, stars)
 
 
+@query("a4_layered_ignore", """
+SELECT path, coalesce(CASE WHEN path LIKE '%00.ts' THEN false END,
+  CASE WHEN path LIKE '%5.ts' THEN false WHEN path LIKE '%' || CAST(CAST(substr(package, 7) AS BIGINT) % 10 AS STRING) || '.ts' THEN true END,
+  CASE WHEN split_part(path, '/', 2) LIKE 'promo%' OR path LIKE '%3.ts' THEN true END, false) AS ignored FROM files""")
+def a4(spark, sf_dir):
+    files, rules = facts(spark, sf_dir, "files", "ignore_files")
+    return ignore.ignored(files.select("path"), rules)
+
+
 @query("k4_resolve_method_calls", """
 WITH needs AS (SELECT DISTINCT c.file_id, s.container AS host, receiver, regexp_extract(receiver, '^(.*?)(?:\\.|::|$)', 1) AS head, callee_name AS name,
     receiver IN ('this', 'self', 'Self', 'cls') AS is_self, receiver IN ('super', 'super()') AS is_super FROM method_calls c LEFT JOIN symbols s ON s.id = c.caller_symbol_id

@@ -70,6 +70,10 @@ FACTS = {
           CASE WHEN pos % 3 = 0 THEN '*' ELSE 'Owner_' || CAST((next_supp + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) % 7 AS STRING) END AS imported,
           CASE WHEN pos % 3 = 0 AND l_returnflag <> 'A' THEN 'library_' || CAST(next_supp AS STRING) END AS external_name
         FROM sites WHERE next_part IS NOT NULL""",
+    "ignore_files": """
+        SELECT DISTINCT 1 AS layer, package AS scope, '*' || CAST(CAST(substr(package, 7) AS BIGINT) % 10 AS STRING) || '.ts' || chr(10) || '!*5.ts' AS text FROM files
+        UNION ALL SELECT DISTINCT 0, '', 'promo*/' || chr(10) || '*3.ts' FROM files
+        UNION ALL SELECT DISTINCT 3, '', '!*00.ts' FROM files""",
     "io_sites": """
         SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS symbol_id,
           CASE l_suppkey % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'network' WHEN 2 THEN 'filesystem' WHEN 3 THEN 'message-queue' ELSE 'process' END AS kind
