@@ -19,6 +19,15 @@ def boundary_usage(calls: DataFrame, symbols: DataFrame, inside: DataFrame, outs
     return used.groupBy(F.col("target_symbol_id").alias("symbol_id")).agg(F.count("*").alias("calls"), F.count_distinct(caller).alias("callers"))
 
 
+def module_usage(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """`package`, `symbol_id`, `calls`, `callers`: `boundary_usage` of every package of `files` (id, package) at once, seen from all others."""
+    home = files.select(F.col("id").alias("file_id"), "package")
+    own = symbols.select(F.col("id").alias("target_symbol_id"), "file_id").join(home, "file_id").drop("file_id")
+    used = calls.where("target_symbol_id is not null").join(home.withColumnRenamed("package", "from_package"), "file_id").join(own, "target_symbol_id")
+    caller = F.coalesce("caller_symbol_id", -F.col("file_id"))
+    return used.where("from_package <> package").groupBy("package", F.col("target_symbol_id").alias("symbol_id")).agg(F.count("*").alias("calls"), F.count_distinct(caller).alias("callers"))
+
+
 def module_api(calls: DataFrame, symbols: DataFrame, files: DataFrame, limit: int = 12) -> DataFrame:
     """`package`, `symbol_id`, `callers`, `rank`: the symbols of each package that most outside functions call."""
     own = symbols.join(files.select(F.col("id").alias("file_id"), "package"), "file_id").select(F.col("id").alias("target_symbol_id"), "package")

@@ -28,6 +28,19 @@ def co_changes(commit_files: DataFrame, min_files: int = 2, max_files: int = 30,
     return out.where(F.col("together") >= min_share * F.least("na", "nb")).select("a", "b", "together")
 
 
+def module_commit_counts(commits: DataFrame, commit_files: DataFrame, files: DataFrame, recent_days: int = 90) -> DataFrame:
+    """`package`, `commits`, `recent`, `ai_commits`: `commit_counts` of every package of `files` (file_id, package) at once.
+
+    A commit counts once a package, however many of its files it touches; recent is seen from the last commit of all.
+    A package without commits has no row.
+    """
+    touched = commit_files.join(files.select("file_id", "package"), "file_id").select("package", "commit_id").distinct()
+    last = commits.agg(F.max("made_at").alias("last"))  # one row
+    recent = (F.col("made_at") >= F.col("last") - F.expr(f"interval {int(recent_days)} days")).cast("int")
+    own = touched.join(commits.crossJoin(F.broadcast(last)), "commit_id")
+    return own.groupBy("package").agg(F.count("*").alias("commits"), F.coalesce(F.sum(recent), F.lit(0)).alias("recent"), F.coalesce(F.sum(F.col("ai").cast("int")), F.lit(0)).alias("ai_commits"))
+
+
 def commit_counts(commits: DataFrame, commit_files: DataFrame, files: DataFrame, as_of: Column, recent_days: int = 90) -> DataFrame:
     """One row: distinct commits, recent ones and assisted ones that touch any of `files` (file_id)."""
     own = commits.join(commit_files.join(files.select("file_id"), "file_id", "left_semi"), "commit_id", "left_semi")

@@ -355,12 +355,11 @@ def g16(spark, sf_dir):
     return out.withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("g17_commit_counts", f"""WITH {HISTORY}, d AS (SELECT DISTINCT commit_id, made_at, ai FROM h WHERE file_id IN (SELECT id FROM files WHERE role = 'source' AND package = 'brand_1'))
-SELECT count(*) AS commits, CAST(coalesce(sum(CASE WHEN made_at >= (SELECT t FROM m) - INTERVAL 90 DAY THEN 1 ELSE 0 END), 0) AS BIGINT) AS recent, CAST(coalesce(sum(CASE WHEN ai THEN 1 ELSE 0 END), 0) AS BIGINT) AS ai_commits FROM d""")
+@query("g17_commit_counts", f"""WITH {HISTORY}, d AS (SELECT DISTINCT package, commit_id, made_at, ai FROM h JOIN files f ON f.id = h.file_id AND f.role = 'source')
+SELECT package, count(*) AS commits, CAST(coalesce(sum(CASE WHEN made_at >= (SELECT t FROM m) - INTERVAL 90 DAY THEN 1 ELSE 0 END), 0) AS BIGINT) AS recent, CAST(coalesce(sum(CASE WHEN ai THEN 1 ELSE 0 END), 0) AS BIGINT) AS ai_commits FROM d GROUP BY 1""")
 def g17(spark, sf_dir):
     commits, cf, files = facts(spark, sf_dir, "commits", "commit_files", "files")
-    own = files.where("role = 'source' and package = 'brand_1'").select(F.col("id").alias("file_id"))
-    return history.commit_counts(commits, cf, own, F.lit(commits.agg(F.max("made_at")).first()[0]))
+    return history.module_commit_counts(commits, cf, files.where("role = 'source'").select(F.col("id").alias("file_id"), "package"))
 
 
 @query("g18_co_changes", "WITH " + PAIRS.format(least=2, share=0.02) + " SELECT * FROM pairs2")
@@ -592,12 +591,11 @@ def qs2(spark, sf_dir):
 
 
 @query("g20_boundary_usage", """
-SELECT c.target_symbol_id AS symbol_id, count(*) AS calls, count(DISTINCT coalesce(c.caller_symbol_id, -c.file_id)) AS callers
-FROM calls c JOIN symbols s ON s.id = c.target_symbol_id JOIN files i ON i.id = s.file_id AND i.package = 'brand_1' JOIN files o ON o.id = c.file_id AND o.package <> 'brand_1' GROUP BY 1""")
+SELECT i.package, c.target_symbol_id AS symbol_id, count(*) AS calls, count(DISTINCT coalesce(c.caller_symbol_id, -c.file_id)) AS callers
+FROM calls c JOIN symbols s ON s.id = c.target_symbol_id JOIN files i ON i.id = s.file_id JOIN files o ON o.id = c.file_id AND o.package <> i.package GROUP BY 1, 2""")
 def g20(spark, sf_dir):
     calls, symbols, files = facts(spark, sf_dir, "calls", "symbols", "files")
-    side = lambda c: files.where(c).select(F.col("id").alias("file_id"))
-    return boundary.boundary_usage(calls, symbols, side("package = 'brand_1'"), side("package <> 'brand_1'"))
+    return boundary.module_usage(calls, symbols, files)
 
 
 @query("g21_module_api", """
