@@ -5,6 +5,8 @@ One SQL text a fact, in the dialect that Spark and DuckDB share, so that a query
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
@@ -108,13 +110,19 @@ FACTS = {
 
 
 def facts(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """The named facts; a fact may build on an earlier one."""
+    """The named facts; only they, the earlier facts and the tables that they build on are planned. Without names, the tables alone."""
+    needed = set(names) if names else set(RAW)
+    for name in reversed(FACTS):
+        if name in needed:
+            needed |= {other for other in (*RAW, *FACTS) if re.search(rf"\b{other}\b", FACTS[name])}
     for raw in RAW:
-        spark.read.parquet(f"{sf_dir}/{raw}.parquet").createOrReplaceTempView(raw)
+        if raw in needed:
+            spark.read.parquet(f"{sf_dir}/{raw}.parquet").createOrReplaceTempView(raw)
     out = {}
     for name, text in FACTS.items():
-        out[name] = spark.sql(text)
-        out[name].createOrReplaceTempView(name)
+        if name in needed:
+            out[name] = spark.sql(text)
+            out[name].createOrReplaceTempView(name)
     return [out[n] for n in names]
 
 
