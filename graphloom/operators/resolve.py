@@ -15,31 +15,63 @@ STAR_LANGUAGES = ("python", "rust")
 PACKAGE_LANGUAGES = ("go",)
 
 
+def star_closure(stars: DataFrame, hops: int = MAX_CHASE) -> DataFrame:
+    """`f`, `g`, `far`: the files that each file stars, directly or over others, with the least number of steps (1 to `hops`).
+
+    Paths are doubled, so that 24 steps take five rounds. The state is one row a pair of files, whatever the number of names;
+    files that star each other in a ring are all in each other's rows, which is quadratic in the ring.
+    """
+    _ready(stars.sparkSession)
+    best = stars.where("file_id is not null and target_file_id <> file_id").select(F.col("file_id").alias("f"), F.col("target_file_id").alias("g"), F.lit(1).alias("far")).distinct().checkpoint()
+    reach, pairs = 1, best.count()
+    while reach < hops:
+        second = best.select(F.col("f").alias("g"), F.col("g").alias("to"), F.col("far").alias("more"))
+        longer = best.join(second, "g").select("f", F.col("to").alias("g"), (F.col("far") + F.col("more")).alias("far")).where(f"far <= {hops} and f <> g")
+        best = best.unionByName(longer).groupBy("f", "g").agg(F.min("far").alias("far")).checkpoint()
+        reach, before, pairs = reach * 2, pairs, best.count()
+        if pairs == before:  # a doubling that adds no pair has found all of them, and each by its shortest way
+            break
+    return best
+
+
+def chase(starts: DataFrame, own: DataFrame, named: DataFrame, closure: DataFrame, fixed: tuple[str, ...] = ()) -> DataFrame:
+    """`f`, `n`, the `fixed` columns, `symbol_id`, `hops`: what each start (f, n, fixed) reaches in the fewest steps.
+
+    `own` (f, n, fixed, symbol_id) answers; `named` (f, n, f1, n1) leads on under another name, `closure` (f, g, far) to
+    starred files under the same one. At most `MAX_CHASE` steps; of equally near answers the smallest id. A round takes all
+    starred files by one join and then one named step, so there are as many rounds as named steps in a row, not as steps.
+    A state comes back only if it is reached in fewer steps, and only while its start has no nearer answer: cycles end.
+    """
+    key, state = ["f0", "n0", *fixed], ["f0", "n0", *fixed, "f", "n"]
+    frontier = starts.select(F.col("f").alias("f0"), F.col("n").alias("n0"), *fixed, "f", "n").distinct().withColumn("hops", F.lit(0)).checkpoint()
+    first = F.min(F.struct("hops", "symbol_id")).alias("hit")
+    seen, found = frontier, None
+    for _ in range(MAX_CHASE + 1):
+        over = frontier.join(closure, "f").select(*key, F.col("g").alias("f"), "n", (F.col("hops") + F.col("far")).alias("hops"))
+        spread = frontier.unionByName(over).where(f"hops <= {MAX_CHASE}").groupBy(*state).agg(F.min("hops").alias("hops")).checkpoint()
+        hits = spread.join(own, ["f", "n", *fixed]).groupBy(*key).agg(first)
+        found = (hits if found is None else found.unionByName(hits).groupBy(*key).agg(F.min("hit").alias("hit"))).checkpoint()
+        step = spread.where(f"hops < {MAX_CHASE}").join(named, ["f", "n"]).select(*key, F.col("f1").alias("f"), F.col("n1").alias("n"), (F.col("hops") + 1).alias("hops"))
+        step = step.groupBy(*state).agg(F.min("hops").alias("hops")).join(found, key, "left").where("hit is null or hops <= hit.hops").drop("hit")
+        frontier = step.join(seen.withColumnRenamed("hops", "was"), state, "left").where("was is null or hops < was").drop("was").checkpoint()
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier).groupBy(*state).agg(F.min("hops").alias("hops"))
+    return found.select(F.col("f0").alias("f"), F.col("n0").alias("n"), *fixed, "hit.symbol_id", "hit.hops")
+
+
 def chase_exports(starts: DataFrame, exports: DataFrame, bindings: DataFrame, stars: DataFrame) -> DataFrame:
     """`file_id`, `name`, `symbol_id`, `hops`: the definition that each start (file_id, name) exports or re-exports.
 
     `exports` is (file_id, name, symbol_id), `bindings` (file_id, local, target_file_id, imported) with one row a local
     name, `stars` (file_id, target_file_id). The nearest definition wins, of several the smallest id; a start without
-    one gives no row. States are distinct and never visited twice, so cycles end.
+    one gives no row.
     """
-    _ready(starts.sparkSession)
     own = exports.groupBy(F.col("file_id").alias("f"), F.col("name").alias("n")).agg(F.min("symbol_id").alias("symbol_id"))
     named = bindings.where("target_file_id is not null").select(F.col("file_id").alias("f"), F.col("local").alias("n"), F.col("target_file_id").alias("f1"), F.col("imported").alias("n1"))
-    wide = stars.select(F.col("file_id").alias("f"), F.col("target_file_id").alias("f1")).distinct()
-    own, named, wide = own.checkpoint(), named.checkpoint(), wide.checkpoint()
-    frontier = starts.select(F.col("file_id").alias("f0"), F.col("name").alias("n0"), F.col("file_id").alias("f"), F.col("name").alias("n")).distinct().checkpoint()
-    seen, found = frontier, None
-    for hop in range(MAX_CHASE + 1):
-        hits = frontier.join(own, ["f", "n"]).groupBy("f0", "n0").agg(F.min("symbol_id").alias("symbol_id")).withColumn("hops", F.lit(hop)).checkpoint()
-        found = hits if found is None else found.unionByName(hits)
-        rest = frontier.join(hits, ["f0", "n0"], "left_anti")
-        step = rest.join(named, ["f", "n"]).select("f0", "n0", F.col("f1").alias("f"), F.col("n1").alias("n"))
-        step = step.unionByName(rest.join(wide, "f").select("f0", "n0", F.col("f1").alias("f"), "n")).distinct()
-        frontier = step.join(seen, ["f0", "n0", "f", "n"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return found.select(F.col("f0").alias("file_id"), F.col("n0").alias("name"), "symbol_id", "hops")
+    closure = star_closure(stars)
+    found = chase(starts.select(F.col("file_id").alias("f"), F.col("name").alias("n")), own.checkpoint(), named.checkpoint(), closure)
+    return found.select(F.col("f").alias("file_id"), F.col("n").alias("name"), "symbol_id", "hops")
 
 
 def first_bindings(bindings: DataFrame) -> DataFrame:
