@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths
-from graphloom.operators import boundary, diff, findings, graph, history, ignore, link, methods, metrics, modules, reach, resolve, search
+from graphloom.operators import boundary, clusters, diff, findings, graph, history, ignore, link, methods, metrics, modules, reach, resolve, search
 from graphloom.sources.projection import facts, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,3 +702,42 @@ def c1_modules(spark, sf_dir):
     imports, files, packages, configs = facts(spark, sf_dir, "module_imports", "module_files", "module_packages", "module_configs")
     packages = packages.withColumn("entries", F.array().cast("array<string>"))
     return modules.resolve_modules(imports, files, packages, modules.path_mappings(modules.script_configs(configs)))
+
+
+CUT = "date '1999-01-01'"
+
+
+def changed_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The symbols of source files that differ between two snapshots, the certain calls between symbols and the sites."""
+    calls, files, symbols, sites = facts(spark, sf_dir, "calls", "files", "symbols", "sites")
+    before = F.col("l_shipdate") < F.expr(CUT)
+    raw = spark.table("lineitem").groupBy((F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("id"))
+    rows = raw.agg(F.sum("l_quantity").alias("q1"), F.sum(F.when(before, F.col("l_quantity"))).alias("q0"), F.count("*").alias("n1"), F.count(F.when(before, 1)).alias("n0"))
+    rows = rows.where("q0 is null or q0 <> q1").select("id", F.when(F.col("q0").isNull(), "added").otherwise("modified").alias("status"), "n0", "n1")
+    edges = link.call_edges(calls).where("confidence in ('exact', 'likely')").select("src", "dst")
+    tested = calls.join(files.where("role = 'test'").select(F.col("id").alias("file_id")), "file_id", "left_semi").groupBy(F.col("target_symbol_id").alias("id")).agg(F.count_distinct("caller_symbol_id").alias("tests"))
+    source = files.where("role = 'source'").select(F.col("id").alias("file_id"), "path")
+    changes = symbols.join(source, "file_id").join(rows, "id").join(tested, "id", "left")
+    changes = changes.select("id", "path", "name", "container", "kind", "exported", "complexity", "status", F.when(F.col("n0") > 0, F.col("complexity") - (F.col("n1") - F.col("n0")) * 9).alias("complexity_before"),
+                             (F.col("n1") - F.col("n0") > 1).alias("signature_changed"), F.lit(True).alias("shape_changed"), F.coalesce("tests", F.lit(0)).alias("tests"))
+    return changes, edges, sites
+
+
+@query("k38_change_clusters")
+def k38(spark, sf_dir):
+    changes, edges, _ = changed_symbols(spark, sf_dir)
+    return clusters.change_clusters(*graph.once(changes, edges))
+
+
+@query("m9_cluster_risk")
+def m9(spark, sf_dir):
+    changes, edges, sites = changed_symbols(spark, sf_dir)
+    changes, edges = graph.once(changes, edges)
+    caller, before = (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("id"), F.col("l_shipdate") < F.expr(CUT)
+    made = sites.where("next_part is not null").groupBy(caller, (F.col("next_part") * 1000000 + F.col("next_supp")).alias("callee")).agg(F.bool_or(before).alias("old"))
+    io = spark.table("lineitem").where("l_quantity >= 49").groupBy(caller).agg((~F.bool_or(before)).cast("long").alias("io_added"))
+    behaviour = made.groupBy("id").agg(F.count_if(~F.col("old")).alias("calls_added")).join(io, "id", "full")
+    files, symbols = facts(spark, sf_dir, "files", "symbols")
+    entries = symbols.where("exported").join(files.where("role = 'config'").select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    reached = graph.bfs(edges, entries.select(F.col("id").alias("seed"), F.col("id").alias("node")), 6)
+    return clusters.cluster_risk(clusters.change_clusters(changes, edges), changes, behaviour, reached.select(F.col("seed").alias("entry_id"), F.col("node").alias("symbol_id")))
