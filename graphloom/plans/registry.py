@@ -741,3 +741,18 @@ def m9(spark, sf_dir):
     entries = symbols.where("exported").join(files.where("role = 'config'").select(F.col("id").alias("file_id")), "file_id", "left_semi")
     reached = graph.bfs(edges, entries.select(F.col("id").alias("seed"), F.col("id").alias("node")), 6)
     return clusters.cluster_risk(clusters.change_clusters(changes, edges), changes, behaviour, reached.select(F.col("seed").alias("entry_id"), F.col("node").alias("symbol_id")))
+
+
+@query("n9_phrase_search", r"""
+WITH entry_texts AS (SELECT doc_id AS ref, unnest([source, text]) AS t, unnest([0, 1]) AS field FROM documents),
+w AS (SELECT ref, field, [x FOR x IN regexp_split_to_array(strip_accents(lower(coalesce(t, ''))), '[^\p{L}\p{N}]+') IF x <> ''] AS words FROM entry_texts),
+p AS (SELECT ref, field, unnest(words) AS token, unnest(range(len(words))) AS position FROM w),
+lengths AS (SELECT ref, count(*) AS length FROM p GROUP BY 1), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths),
+found AS (SELECT a.ref, 0 AS term, count(*) AS tf FROM p a JOIN p b ON a.ref = b.ref AND a.field = b.field AND b.position = a.position + 1 WHERE a.token = 'por' AND starts_with(b.token, 'la') GROUP BY 1
+  UNION ALL SELECT ref, 1, count(*) FROM p WHERE starts_with(token, 'cion') GROUP BY 1),
+df AS (SELECT term, count(*) AS df FROM found GROUP BY 1)
+SELECT ref, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+FROM found JOIN df USING (term) JOIN lengths USING (ref) CROSS JOIN stats GROUP BY ref HAVING count(*) = 2""")
+def n9_phrases(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("ref"), F.col("source").alias("label"), F.col("text").alias("detail"))
+    return search.search_phrases(docs, search.build_positions(docs), "Por-la ción")
