@@ -53,10 +53,10 @@ def chase(starts: DataFrame, own: DataFrame, named: DataFrame, closure: DataFram
         found = (hits if found is None else found.unionByName(hits).groupBy(*key).agg(F.min("hit").alias("hit"))).checkpoint()
         step = spread.where(f"hops < {MAX_CHASE}").join(named, ["f", "n"]).select(*key, F.col("f1").alias("f"), F.col("n1").alias("n"), (F.col("hops") + 1).alias("hops"))
         step = step.groupBy(*state).agg(F.min("hops").alias("hops")).join(found, key, "left").where("hit is null or hops <= hit.hops").drop("hit")
-        frontier = step.join(seen.withColumnRenamed("hops", "was"), state, "left").where("was is null or hops < was").drop("was").checkpoint()
+        frontier = step.join(seen.groupBy(*state).agg(F.min("hops").alias("was")), state, "left").where("was is null or hops < was").drop("was").checkpoint()
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).groupBy(*state).agg(F.min("hops").alias("hops"))
+        seen = seen.unionByName(frontier)
     return found.select(F.col("f0").alias("f"), F.col("n0").alias("n"), *fixed, "hit.symbol_id", "hit.hops")
 
 
