@@ -24,7 +24,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, Jaccard similarity from 0.8) stays."""
+    """One document of each component of near copies (five-word shingles, Jaccard similarity from 0.8) stays.
+
+    The SimHash operator's covering joins the closest; bands find those that no fingerprint can.
+    """
     return near_filter(docs)
 
 

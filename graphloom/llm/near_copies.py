@@ -1,4 +1,8 @@
-"""Near copies by shingle similarity: MinHash bands find candidates, an exact Jaccard check keeps the true ones.
+"""Near copies by shingle similarity: the SimHash operator and MinHash bands find candidates, an exact Jaccard check keeps the true ones.
+
+Fingerprints. The distinct sets of shingles go through the SimHash operator: a 64-bit fingerprint each, anchor-point
+covering, all pairs within four bits. The closest copies become components there. At a similarity of 0.8 about ten bits
+differ, so one fingerprint cannot find every link; bands find the rest, between the components that are left.
 
 Bands. A distinct set of shingles has BANDS band values of ROWS minima each. Two sets of similarity s share none with
 probability (1 - s^ROWS)^BANDS: 1.9e-6 at 0.8, less above. Sets that share a value are candidates.
@@ -20,6 +24,8 @@ from pyspark.sql import types as T
 
 from graphloom.llm.common import BROADCAST_ROWS, field, numbered, row_order, without_rows, written
 from graphloom.llm.components import connected_components
+from graphloom.llm.sentence_pieces import slices
+from graphloom.llm.simhash import checked_components, print_of
 
 SHINGLE, SEED = 5, 42
 #: Sets are near copies if their Jaccard similarity is at least NUM / DEN.
@@ -56,12 +62,15 @@ def shingles_of(text: str | None):
 
 def sketch_of(text: str | None) -> tuple[bytes, int, list[int], list[int]]:
     """A digest of the set of shingles, its size, the band values (none for the empty set) and the parities."""
+    return _sketch(shingles_of(text))
+
+
+def _sketch(found) -> tuple[bytes, int, list[int], list[int]]:
     import hashlib
 
     import numpy as np
     import xxhash
 
-    found = shingles_of(text)
     _, factors, shifts = _factors()
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(found), 1024):  # long texts in pieces of bounded memory
@@ -73,13 +82,15 @@ def sketch_of(text: str | None) -> tuple[bytes, int, list[int], list[int]]:
 
 
 _LONGS = T.ArrayType(T.LongType())
-_SKETCH = T.StructType().add("sid", T.BinaryType()).add("n", T.IntegerType()).add("bands", _LONGS).add("parity", _LONGS)
+_SKETCH = T.StructType().add("sid", T.BinaryType()).add("n", T.IntegerType()).add("bands", _LONGS).add("parity", _LONGS).add("fp", T.LongType())
 
 
 @F.pandas_udf(_SKETCH)
 def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        yield pd.DataFrame([sketch_of(t) for t in batch], columns=["sid", "n", "bands", "parity"])
+        for part in slices(batch):
+            sets = map(shingles_of, part)
+            yield pd.DataFrame([(*_sketch(s), print_of(s[at : at + 65536] for at in range(0, len(s), 65536))) for s in sets], columns=["sid", "n", "bands", "parity", "fp"])
 
 
 @F.pandas_udf(_LONGS)
@@ -107,22 +118,31 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _components(per: DataFrame, texts: DataFrame) -> DataFrame:
-    """`node`, `component` for each row of `per` (node, n, bands, parity) that is not its own component.
+    """`node`, `component` for each row of `per` (node, n, bands, parity, fp) that is not its own component.
 
-    Dense groups do not become all their pairs: first each set is compared with the smallest node of each of its bands,
-    then bands whose sets are still in several components are compared in full, between components only.
+    Dense groups do not become all their pairs. The SimHash operator joins the closest sets. In bands that still hold
+    several components each set is compared with the band's smallest node first, then bands whose sets are still apart are
+    compared in full, between components only.
     """
-    rows = per.select("node", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+    sizes = per.select("node", "n", "parity")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sizes.toDF("a", "m", "p"), "a").join(sizes.toDF("b", "n", "q"), "b")
+        return _verified(both.where(_possible(F.col("p"), F.col("q"), F.col("m"), F.col("n"))), texts)
+
+    close = written(checked_components(per.select("node", "fp"), near), "close")
+    own = written(per.select("node", "bands").join(close, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "bands"), "own")
+    rows = own.select("node", "c", F.explode("bands").alias("band"))
+    least = rows.groupBy("band").agg(F.min("node").alias("least"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").drop("low", "high")
     rows = written(rows.join(least, "band"), "bands")
-    light = per.select("node", "n", "parity")
-    stars = rows.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(light.toDF("a", "m", "p"), "a").join(light.toDF("b", "n", "q"), "b").where(_possible(F.col("p"), F.col("q"), F.col("m"), F.col("n")))
-    joined = written(connected_components(_verified(stars, texts).toDF("u", "v")), "stars")
+    stars = rows.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), "c").distinct()
+    stars = stars.join(own.select(F.col("node").alias("a"), F.col("c").alias("d")), "a").where("c <> d").select("a", "b")
+    found = close.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    joined = written(connected_components(near(stars).toDF("u", "v").unionByName(found)), "stars")
     known = rows.select("node", "band").join(joined, "node", "left").select("node", "band", F.coalesce("component", "node").alias("c"))
     known = written(known, "known")
     mixed = known.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    full = written(known.join(mixed, "band").join(light, "node"), "mixed")
+    full = written(known.join(mixed, "band").join(sizes, "node"), "mixed")
     left, right = full.toDF(*(f"l_{c}" for c in full.columns)), full.toDF(*(f"r_{c}" for c in full.columns))
     meet = (F.col("l_band") == F.col("r_band")) & (F.col("l_c") < F.col("r_c")) & _possible(F.col("l_parity"), F.col("r_parity"), F.col("l_n"), F.col("r_n"))
     cross = left.hint("merge").join(right, meet).select(F.col("l_node").alias("a"), F.col("r_node").alias("b"))
@@ -136,7 +156,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     own = written(own.select("key", "rid", "s.*"), "sketches").withColumn("order", row_order())
     per = own.groupBy("sid").agg(F.min("key").alias("least"), F.min("order").alias("first"), F.min("rid").alias("node"))
     per = written(per, "sets-by-digest")
-    sketched = per.select("node").join(own.select(F.col("rid").alias("node"), "n", "bands", "parity"), "node")
+    sketched = per.select("node").join(own.select(F.col("rid").alias("node"), "n", "bands", "parity", "fp"), "node")
     linked = written(_components(written(sketched, "distinct-sketches"), rows), "links")
     per = per.join(linked, "node", "left").select("sid", "least", "first", F.coalesce("component", "node").alias("component"))
     best = per.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("best"))

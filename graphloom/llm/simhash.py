@@ -14,7 +14,7 @@ once there are some 10^7 of them; beyond about 10^9 distinct fingerprints CODE_B
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,6 +36,18 @@ def triples_cover(triples=TRIPLES, blocks: int = len(BLOCKS), differing: int = M
     return all(any(sum(s[b] for b in t) <= within for t in triples) for s in spreads)
 
 
+def print_of(parts: Iterable) -> int:
+    """The SimHash of 64-bit hashes in arrays, as a signed integer: a bit is 1 if set in over half of all; none give 0."""
+    import numpy as np
+
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    bits = np.packbits(2 * counts > n, bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
 def fingerprint_of(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of one text as a signed 64-bit integer; no words give 0."""
     import numpy as np
@@ -44,13 +56,9 @@ def fingerprint_of(text: str | None, size: int = SHINGLE, seed: int = SEED) -> i
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), max(1, len(words) - size + 1)
-    for at in range(0, n, 65536):  # long texts in pieces of bounded memory
-        h = np.fromiter((digest(b" ".join(words[i : i + size]), seed) for i in range(at, min(n, at + 65536))), np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - size + 1)
+    # Long texts in pieces of bounded memory.
+    return print_of(np.fromiter((digest(b" ".join(words[i : i + size]), seed) for i in range(at, min(n, at + 65536))), np.uint64) for at in range(0, n, 65536))
 
 
 @F.pandas_udf(T.LongType())
@@ -136,6 +144,36 @@ def component_of_prints(prints: DataFrame, max_distance: int = MAX_DISTANCE) ->
     return out.where("fp <> component")
 
 
+def checked_components(prints: DataFrame, check: Callable[[DataFrame], DataFrame], max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """`node`, `component` (smallest `node` reachable) for each row of `prints` (node, fp) that is not its own component.
+
+    As `component_of_prints`, but fingerprints only find the candidates: nodes whose fingerprints differ in at most
+    `max_distance` bits are linked if `check`, given pairs (a, b), keeps them. Nodes may share a fingerprint. All visits
+    are dealt out once; the second pass reads those that met another node, at anchors that still hold two components.
+    """
+    if max_distance > MAX_DISTANCE:
+        raise ValueError(f"the covering holds up to {MAX_DISTANCE} differing bits")
+    prints = prints.select("node", "fp")
+    least = homes(prints).groupBy("anchor").agg(F.min("node").alias("b"))
+    met = visits(prints).select("anchor", F.col("node").alias("a")).join(least.hint("merge"), "anchor").where("a <> b")
+    met = written(met, "met")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(prints.toDF("a", "f"), "a").join(prints.toDF("b", "g"), "b")
+        return check(pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_distance).select("a", "b")).toDF("u", "v")
+
+    joined = written(connected_components(close(met.select("a", "b").distinct())), "stars")
+    known = written(prints.join(joined, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("c")), "known")
+    placed = met.join(known.select(F.col("node").alias("a"), F.col("c").alias("u")), "a")
+    mixed = placed.join(known.select(F.col("node").alias("b"), F.col("c").alias("v")), "b").where("u <> v").select("anchor").distinct()
+    mixed = written(mixed, "mixed-anchors")
+    left = placed.select("anchor", "a", "u").join(mixed, "anchor")
+    right = homes(known).select("anchor", F.col("node").alias("b"), F.col("c").alias("v")).join(mixed, "anchor")
+    cross = left.hint("merge").join(right, "anchor").where("u <> v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = close(cross).unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return connected_components(links)
+
+
 def _grouped(rows: DataFrame, max_distance: int) -> DataFrame:
     """`key`, `rid`, `fp`, `component_id` and `stays` for each of the rows (`key`, `text`, `rid`)."""
     own = rows.select("key", "rid", fingerprints("text").alias("fp"))

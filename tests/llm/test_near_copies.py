@@ -3,8 +3,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from graphloom.llm import near_copies as N
+from graphloom.llm import simhash as S
 
 ODD = [(900, None), (901, " \t"), (902, "two words"), (903, "Two  WORDS"), (None, "a b c d e"), (904, "a b c d e"), (905, "w " * 5000)]
 
@@ -76,3 +79,46 @@ def test_the_parities_never_rule_out_a_near_copy():
             assert differing <= len(a ^ b)
             ruled_out += differing * 9 > m + n
     assert ruled_out > len(sketches)
+
+
+def test_the_simhash_operator_links_the_closest_copies(make, spark, monkeypatch):
+    """Without any bands the stage still joins what is within four bits of a fingerprint, and nothing else."""
+    rng = random.Random(11)
+    rows = [r for r in edited_texts() if r[0] is not None and r[0] < 900]
+    for k in range(6):
+        base = [f"v{rng.randrange(3000)}" for _ in range(2000)]
+        rows += [(100 + 10 * k + j, " ".join(base[:at] + ["new"] + base[at + 1 :])) for j, at in enumerate(rng.sample(range(2000), 4))]
+    sets = [shingles(t) for _, t in rows]
+    prints = [S.print_of([N.shingles_of(t)]) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= S.MAX_DISTANCE and near(sets[i], sets[j]):
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    joined = [i for i in range(len(rows)) if part[i] != i]
+    assert len(joined) >= 18 and len(set(part)) > len(set(brute_components(rows)))
+    plain = N.sketches
+    monkeypatch.setattr(N, "sketches", lambda c: F.transform(F.array(plain(c)), lambda s: s.withField("bands", F.array().cast("array<bigint>")))[0])
+    df = make(list(enumerate(t for _, t in rows)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()) == sorted(set(part))
+
+
+def test_checked_components_equal_brute_force(make):
+    rng, prints = random.Random(2), []
+    for _ in range(6):
+        p = rng.getrandbits(64)
+        for _ in range(12):
+            prints.append(p)
+            for _ in range(rng.randint(0, 5)):
+                p ^= 1 << rng.randrange(64)
+    rng.shuffle(prints)
+    kept = lambda a, b: (a + b) % 3 > 0
+    part = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if kept(i, j) and (prints[i] ^ prints[j]).bit_count() <= S.MAX_DISTANCE:
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    df = make([(i, p - 2**64 if p >> 63 else p) for i, p in enumerate(prints)], "node long, fp long")
+    got = {r.node: r.component for r in S.checked_components(df, lambda pairs: pairs.where("(a + b) % 3 > 0")).collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == part
+    assert S.checked_components(df.where("false"), lambda pairs: pairs).count() == 0
