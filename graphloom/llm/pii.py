@@ -240,7 +240,7 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     recurses with their length. `n_entities` counts what was found by a pattern, not the bare mentions of its names.
 
     Rows, matches and what lies between them are written once; only numbers and short values are shuffled, and the texts
-    that hold an entity. A popular entity is no hot spot: distinct values come from a partial aggregation, and the join
+    that hold a match: rows without one go past the join. A popular entity is no hot spot: distinct values come from a partial aggregation, and the join
     back can split it. A document's replacements are one list, which is no longer than the document.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -254,10 +254,11 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     each = named.groupBy("rid", "pos").agg(whole.alias("s"), people.alias("people"))
     lists = each.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "s"))).alias("new"), F.array_distinct(F.flatten(F.collect_list("people"))).alias("people"))
     lists = written(lists.withColumn("people", F.array_sort("people")), "replacements")
-    full = rows.join(lists, "rid", "left")
     pieces = F.when(F.size("people") > 0, F.transform("between", lambda b: _bare(b, F.col("people")))).otherwise(F.col("between"))
     put = F.transform("hits", lambda h, i: F.coalesce(F.try_element_at("new", i), h))
     joined = F.array_join(F.zip_with(pieces, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     result = F.when(F.col("new").isNotNull(), joined).otherwise(field(text)).alias(text)
-    others = [result if c == text else field(c).alias(c) for c in docs.columns if c != "n_entities"]
-    return full.select(*others, F.when(F.col("new").isNull(), 0).otherwise(F.size("new")).alias("n_entities"))
+    kept = [c for c in docs.columns if c != "n_entities"]
+    hit = rows.where(F.size("hits") > 0).join(lists, "rid", "left")
+    hit = hit.select(*[result if c == text else field(c).alias(c) for c in kept], F.when(F.col("new").isNull(), 0).otherwise(F.size("new")).alias("n_entities"))
+    return hit.unionAll(rows.where(F.size("hits") == 0).select(*[field(c).alias(c) for c in kept], F.lit(0).alias("n_entities")))

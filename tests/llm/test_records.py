@@ -268,6 +268,26 @@ def test_clashing_names_and_repeated_rows(make):
     assert out.columns == ["doc_id", "text", "row", "hits", "n_entities"] and got[0] == got[1] and got[2].text == "clean" and got[0].n_entities == 1
 
 
+def test_texts_without_a_match_are_not_shuffled(make, spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000))) for i in range(200)] + [(200, "mail a@b.example.com"), (201, "no card 1234567890123"), (202, None)]
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def shuffled():
+        bus.waitUntilEmpty()
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with more replacements than a broadcast holds
+    try:
+        before = shuffled()
+        got = {r.doc_id: (r.text, r.n_entities) for r in I.replace_pii(make(rows, "doc_id long, text string"), "k").collect()}
+        assert shuffled() - before < 500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(rows) and got[200][0] != rows[200][1] and got[200][1] == 1
+    assert all(got[i] == (t, 0) for i, t in rows if i != 200)
+
+
 def test_surrogates_are_distinct_and_new(make):
     entities = make([("surname", n) for n in ("li", "lu", "ma", "mi", "mu", "na", "no", "ba", "be", "bo")] + [("ssn", f"12345678{i}") for i in range(10)], "type string, canon string")
     got = I.assign_surrogates(entities, "k").collect()
