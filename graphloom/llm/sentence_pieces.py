@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 #: most LONGEST_UNIT characters each, stay known: those of the present generation and of the one before.
 SHORT, ROWS = 32, 20_000
 UNITS, LONGEST_UNIT = 120_000, 64
+#: Pairs of symbols are looked up in 2^SLOT_BITS slots by a multiplied key; a slot with several pairs says SHARED.
+SLOT_BITS, FACTOR, SHARED = 20, np.uint64(0x9E3779B97F4A7C15), -2
 SPACE = "▁"
 #: Field numbers and values of the published model format (fixed values).
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -97,9 +99,12 @@ class Codec:
         joined = {c for p in longer for c in p}
         self.cut_at_spaces = self.dummy and self.byte_ids is not None and not any(SPACE in p.lstrip(SPACE) for p in longer)
         if self.cut_at_spaces:
-            self.stretch = re.compile(f"{SPACE}*[{re.escape(''.join(sorted(joined - {SPACE})))}]+|{SPACE}+|.", re.S)
+            whole = f"{SPACE}*[{re.escape(''.join(sorted(joined - {SPACE})))}]+"
+            self.stretch = re.compile(f"{whole}|{SPACE}+|.", re.S)
         else:
-            self.stretch = re.compile(f"[{re.escape(''.join(sorted(joined)))}]+|.", re.S)
+            whole = f"[{re.escape(''.join(sorted(joined)))}]+"
+            self.stretch = re.compile(f"{whole}|.", re.S)
+        self.whole = re.compile(whole)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.apart = next(c for c in map(chr, (10, *range(10), *range(11, 32))) if c not in joined)
@@ -120,6 +125,9 @@ class Codec:
         self.pair_keys = np.array([k for k, _ in pairs] + [2**62])
         self.pair_piece = np.array([i for _, i in pairs] + [0], np.int32)
         self.pair_rank = np.array([self.rank[self.pieces[i]] for _, i in pairs] + [np.inf])
+        slots, first, n = np.unique(self._slot(self.pair_keys[:-1]), return_index=True, return_counts=True)
+        self.slots = np.full(1 << SLOT_BITS, len(pairs), np.int32)
+        self.slots[slots] = np.where(n > 1, SHARED, first)
 
     def agenda(self, text: str) -> list[int]:
         """The ids of a stretch of normalised text, by merging the best adjacent pair until none is left."""
@@ -150,10 +158,16 @@ class Codec:
                 found.append(self.unknown)
         return found
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * FACTOR) >> np.uint64(64 - SLOT_BITS)
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rank (infinite for none) and the merged piece of pairs of symbols."""
         key = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) * self.width + right)
-        at = np.searchsorted(self.pair_keys, key)
+        at = self.slots[self._slot(key)]
+        shared = at == SHARED
+        at[shared] = np.searchsorted(self.pair_keys, key[shared])
         hit = self.pair_keys[at] == key
         return np.where(hit, self.pair_rank[at], np.inf), np.where(hit, self.pair_piece[at], -1)
 
@@ -200,26 +214,39 @@ class Codec:
 
     def _learn(self, units: set[str]) -> None:
         """Put the ids of units that are not known yet into `known`."""
-        parts = [(u, self.stretch.findall(u)) for u in units]
-        fresh = sorted({p for _, ps in parts for p in ps}, key=len)
-        short = [p for p in fresh if len(p) <= SHORT and self.symbol_of[ord(p[0])] >= 0]
+        alone = list(filter(self.whole.fullmatch, units))
+        fresh = set(alone)
+        parts = [(u, self.stretch.findall(u)) for u in units - fresh]
+        fresh.update(p for _, ps in parts for p in ps)
+        short = sorted((p for p in fresh if len(p) <= SHORT and (len(p) > 1 or self.symbol_of[ord(p)] >= 0)), key=len)
         ids: dict[str, bytes] = {}
         for k in range(0, len(short), ROWS):
             ids |= zip(short[k : k + ROWS], self.agendas(short[k : k + ROWS]), strict=True)
         for p in fresh:
             if not ids.get(p):
                 ids[p] = struct.pack(f"<{len(got := self.agenda(p))}i", *got)
+        self.known.update(zip(alone, map(ids.__getitem__, alone), strict=True))
         for u, ps in parts:
-            self.known[u] = ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps))
+            self.known[u] = b"".join(map(ids.__getitem__, ps))
         if self.library is not None:
-            for k in range(0, len(parts), 200):  # the library's own agenda is fast on short texts
-                self._compare([u for u, _ in parts[k : k + 200]])
+            plain = [u for u in units if u[0] == SPACE != u[-1]]
+            odd = [u for u in units if not u[0] == SPACE != u[-1]]
+            for k in range(0, len(plain), 200):  # the library's own agenda is fast on short texts
+                self._compare(plain[k : k + 200], "".join(plain[k : k + 200]))
+            for k in range(0, len(odd), 200):
+                self._compare(odd[k : k + 200])
+
+    def _compare(self, units: list[str], joined: str = "") -> None:
+        """Hold new units against the library, as one text: a character of no longer piece keeps apart what could merge.
 
-    def _compare(self, units: list[str]) -> None:
-        """Hold new units against the library, as one text: a character of no longer piece keeps apart what could merge."""
+        `joined` is the text of units that all begin, but do not end, with a space, and so need none.
+        """
         apart, text = self.apart_ids[1], [SPACE, self.apart]
         want = list(self.apart_ids)
-        for u in units:
+        if joined:
+            text.append(joined)
+            want += map(self.known.__getitem__, units)
+        for u in () if joined else units:
             if u[0] != SPACE or text[-1][-1] == SPACE:
                 text.append(self.apart)
                 want.append(apart)

@@ -46,6 +46,28 @@ def test_matrix_and_heap_agree():
     assert [np.frombuffer(x, "<i4").tolist() for x in own.agendas(words)] == [own.agenda(w) for w in words]
 
 
+def test_pairs_share_slots_and_words_are_cut_once():
+    own, rng = S.Codec(PIECES), np.random.default_rng(4)
+    keys = own.pair_keys[:-1]
+    assert (own.slots == S.SHARED).sum() > 0  # some pairs share a slot, and are found all the same
+    rank, piece = own._pairs((keys // own.width).astype(np.int32), (keys % own.width).astype(np.int32))
+    assert (rank == own.pair_rank[:-1]).all() and (piece == own.pair_piece[:-1]).all()
+    left, right = rng.integers(-1, own.width, (2, 200_000), dtype=np.int32)
+    known = np.isin(left.astype(np.int64) * own.width + right, keys) & (left >= 0) & (right >= 0)
+    assert (np.isfinite(own._pairs(left, right)[0]) == known).all()
+
+    class Counted:
+        calls, pattern = 0, own.stretch
+
+        def findall(self, text):
+            self.calls += 1
+            return self.pattern.findall(text)
+
+    own.stretch = counted = Counted()
+    own.encode(["made upp wordds, onlyy", "a\nb"])
+    assert counted.calls == 1  # only for what holds a cut
+
+
 def test_decode_any_ids(library):
     own, rng = S.codec(PIECES), random.Random(5)
     for _ in range(3000):
