@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import BROADCAST_ROWS, field, numbered, row_order, without_rows, written
+from graphloom.llm.common import BROADCAST_ROWS, field, numbered, row_order, tidy, without_rows, written
 from graphloom.llm.components import connected_components
 from graphloom.llm.sentence_pieces import slices
 from graphloom.llm.simhash import checked_components, print_of
@@ -86,6 +86,7 @@ _SKETCH = T.StructType().add("sid", T.BinaryType()).add("n", T.IntegerType()).ad
 
 
 @F.pandas_udf(_SKETCH)
+@tidy()
 def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         for part in slices(batch):
@@ -94,6 +95,7 @@ def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 @F.pandas_udf(_LONGS)
+@tidy()
 def shingle_sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: shingles_of(t).view("int64"))

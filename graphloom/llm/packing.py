@@ -17,7 +17,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import shuffle_width, written
+from graphloom.llm.common import kept, shuffle_width, tidy, written
 
 CAPACITY = 1024
 END_ID = 0
@@ -94,7 +93,7 @@ class _Ids:
         return b"".join(map(self.unit.__getitem__, _UNIT.findall(text)))
 
 
-@cache
+@kept
 def _ids(path: str) -> _Ids:
     """One for all tasks of a Python worker, so that a task begins with the words that earlier ones met."""
     return _Ids(path)
@@ -145,6 +144,7 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", with_ids: boo
         fields.append(T.StructField("ids", T.BinaryType()))
 
     @F.pandas_udf(T.StructType(fields))
+    @tidy(_ids)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids = _ids(tokenizer)
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import shared_dir
+from graphloom.llm.common import shared_dir, tidy
 
 #: Hash space of the features; dense float32 weights are 1 MB, so the broadcast is bounded.
 BITS = 18
@@ -104,11 +104,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: i
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # 12 bytes a row
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
 
+    @tidy()
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "x": [features(t, words).tobytes() for t in b.text]})
 
+    @tidy()
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got, held = [], 0
         for b in batches:
@@ -139,6 +141,7 @@ def scorer(spark, model: tuple[np.ndarray, float]):
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
+    @tidy()
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, bias = sent.value
         words = _Words()
