@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 #: Stretches up to SHORT characters are merged ROWS at a time. Between batches about twice UNITS units, of at
 #: most LONGEST_UNIT characters each, stay known: those of the present generation and of the one before.
 SHORT, ROWS = 32, 20_000
-UNITS, LONGEST_UNIT = 120_000, 64
+UNITS, LONGEST_UNIT = 500_000, 64
 #: Pairs of symbols are looked up in 2^SLOT_BITS slots by a multiplied key; a slot with several pairs says SHARED.
 SLOT_BITS, FACTOR, SHARED = 20, np.uint64(0x9E3779B97F4A7C15), -2
 SPACE = "▁"

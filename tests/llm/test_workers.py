@@ -3,7 +3,9 @@
 import pandas as pd
 import pyarrow as pa
 
-from graphloom.llm import common, near_copies, packing
+from public_tokenizers import path
+
+from graphloom.llm import common, near_copies, packing, sentence_pieces
 from graphloom.llm.registry import tokenizer_path
 
 
@@ -33,3 +35,15 @@ def test_freed_batches_go_back_to_the_system():
     before = held()
     assert list(batch_sizes(iter([text, text]))) == [100_000, 100_000]
     assert held() - before < 20
+
+
+def test_units_that_come_round_again_are_not_learnt_again(monkeypatch):
+    """A worker meets the same 300,000 words over and over; each is merged and compared with the library once."""
+    codec, learnt = sentence_pieces.Codec(path("piece_bpe_32k.model"), check=False), []
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda units: (learnt.append(len(units)), learn(units)))
+    texts = [" ".join(f"{k:x}" for k in range(at, at + 1000)) for at in range(0, 300_000, 1000)]
+    for _ in range(2):
+        for at in range(0, len(texts), 50):
+            codec.encode(texts[at : at + 50])
+    assert sum(learnt) == 300_000
