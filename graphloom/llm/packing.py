@@ -12,11 +12,9 @@ documents, ranked within their length on Spark, look up their place in it.
 from __future__ import annotations
 
 import itertools
-import re
-import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import kept, shuffle_width, tidy, written
+from graphloom.llm.byte_pairs import BytePairs
+from graphloom.llm.common import kept, shuffle_width, small_batches, tidy, written
 
 CAPACITY = 1024
 END_ID = 0
@@ -32,109 +31,33 @@ END_ID = 0
 GAP = 0.001
 MAX_ROUNDS = 60
 
-#: The pre-tokens of byte-level BPE: contractions, and runs of letters, of numbers, of other characters and of white
-#: space, each but the last with one space before it (fixed values of the tokenizer's published pattern).
-_UNIT = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Characters that Python's classes put elsewhere than the pattern's: information separators, numbers that are no
-#: digits and what is not assigned in Python's tables. White space beyond ASCII is here too, as words are split at spaces.
-_ODD_KINDS = ("Nl", "No", "Cn")
-_ODD = re.compile("[\x1c-\x1f" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) in _ODD_KINDS or c.isspace()) + "]")
-#: A space after another white space: a split at spaces could then cut a run that is one pre-token.
-_RUNS = tuple(c + " " for c in " \t\n\r\x0b\x0c")
-#: Words up to so many characters are remembered.
-LONGEST_WORD, WORDS = 64, 300_000
-
-
-#: Byte-level BPE's alphabet: printable Latin-1 bytes stand for themselves, the others for characters from 256 on.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_SPACE = chr(_BYTE_CHARS[32])
-
-
-class _Recent(dict):
-    """Values of a function of short strings; remembers at least the last WORDS distinct ones, twice as many at most."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST_WORD:
-            if len(self) >= WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class _Ids:
-    """Token ids, as little-endian bytes, of pre-tokens and of words with the space before them."""
+    """The ids of a tokenizer file: by tiktoken where the file is a plain byte-level BPE, else by the tokenizers library."""
 
     def __init__(self, path: str):
+        self.path = path
+        try:
+            self.encode = BytePairs(path).encode
+        except (KeyError, ValueError):
+            self.encode = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.unit, self.word = _Recent(self._unit), _Recent(self._word)
-
-    def _unit(self, unit: str) -> bytes:
-        plain = unit.isascii() and unit.isprintable()
-        found = self.model.tokenize(unit.replace(" ", _SPACE) if plain else unit.encode().decode("latin-1").translate(_BYTE_CHARS))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
-
-    def _word(self, word: str) -> bytes:
-        return self.units(" " + word)
-
-    def units(self, text: str) -> bytes:
-        """The ids of a stretch of text that begins and ends where pre-tokens do."""
-        return b"".join(map(self.unit.__getitem__, _UNIT.findall(text)))
+        return Tokenizer.from_file(self.path)
 
 
 @kept
 def _ids(path: str) -> _Ids:
-    """One for all tasks of a Python worker, so that a task begins with the words that earlier ones met."""
+    """One for all tasks of a Python worker."""
     return _Ids(path)
 
 
-def _plain(text: str) -> bool:
-    """Whether the pattern's classes are Python's on this text, and it holds no special token."""
-    if "<|" in text:
-        return False
-    if text.isascii():
-        return not _ODD.search(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else True
-    return len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) and not _ODD.search(text)
-
-
 def token_bytes(text: str | None, ids: _Ids) -> bytes:
-    """The ids of a text and the end id, 4 bytes each.
-
-    A pre-token never reaches over a space that follows a word, so a text is split at spaces and each word that was
-    seen before is looked up. Where spaces follow other white space, pre-tokens are found one by one. A text with
-    characters on which the pattern's classes differ, or that may hold a special token, is encoded whole.
-    """
+    """The ids of a text and the end id, 4 bytes each."""
     end = END_ID.to_bytes(4, "little")
-    if not text:
-        return end
-    if not _plain(text):
-        return np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-    if any(run in text for run in _RUNS):
-        # Only the last space of a run belongs to the word after it; the run's rest is a pre-token of its own.
-        return b"".join([ids.units(text[a:b]) for a, b in _stretches(text)]) + end
-    first, *words = text.split(" ")
-    return (ids.units(first) if first else b"") + b"".join(map(ids.word.__getitem__, words)) + end
-
-
-def _stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Pieces of a long text that begin at white space after a word."""
-    at = 0
-    for m in re.finditer(r"(?<=\S)\s", text):
-        if m.start() - at > 4096:
-            yield at, m.start()
-            at = m.start()
-    yield at, len(text)
+    return ids.encode(text).astype("<u4").tobytes() + end if text else end
 
 
 def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
@@ -274,7 +197,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     salts = 4 * shuffle_width(spark)
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    own = written(tokenized(own, tokenizer, "text", with_ids, capacity).select("key", "rid", "_t.*"), "tokens")
+    with small_batches(spark):
+        own = written(tokenized(own, tokenizer, "text", with_ids, capacity).select("key", "rid", "_t.*"), "tokens")
     grain = capacity // 4
     place = F.col("pos").cast("long") * capacity  # only the last piece may begin elsewhere, on the grain
     start = F.when(place < F.col("n"), place).otherwise(F.col("n") - F.col("n") % grain)

@@ -10,7 +10,6 @@ documents by the texts' SHA-256, after a check that no two distinct texts share
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,16 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm import packing
+from graphloom.llm.byte_pairs import BYTE_OF, BytePairs
 from graphloom.llm.common import written
 from graphloom.llm.sentence_pieces import SPACE, Codec, slices
 
 #: At most so many pair counts, of the most frequent pairs, are broadcast (16 bytes each).
 POPULAR = 100_000
 
-#: The pre-tokens of byte-level BPE (fixed value of the tokenizer's published pattern).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 _ALIGNED = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")]
     + [T.StructField("groups", T.StringType())]
@@ -40,27 +36,14 @@ _ALIGNED = T.StructType(
 class Aligner:
     """Both vocabularies: ids of whole texts, the bytes of each id and the written forms of ids in groups.
 
-    The byte-level vocabulary is read from its tokenizer file; its merges are in the order of their ids (checked), so
-    that ids serve as merge ranks and special strings stay plain text.
+    Strings of special tokens stay plain text.
     """
 
     def __init__(self, a_path: str, b_path: str):
-        import tiktoken
-
         self.b = Codec(b_path, check=False)
-        back = {chr(c): b for b, c in packing._BYTE_CHARS.items()} | {chr(b): b for b in packing._PRINTABLE}
-        with open(a_path, encoding="utf-8") as f:
-            entries = json.load(f)
-        names = {i: t for t, i in entries["model"]["vocab"].items()} | {x["id"]: x["content"] for x in entries["added_tokens"]}
-        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in entries["model"]["merges"]]
-        ids = entries["model"]["vocab"]
-        if any(ids[m] - ids[merges[0]] != k for k, m in enumerate(merges)):
-            raise ValueError(f"the merges of {a_path} are not in the order of their ids")
-        special = {x["content"] for x in entries["added_tokens"]}
-        ranks = {bytes(back[c] for c in t): i for t, i in ids.items() if t not in special}
-        self.a = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = lambda t: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-        self.a_bytes = [whole(names.get(i, "")) for i in range(max(names) + 1)]
+        self.a = BytePairs(a_path)
+        whole = lambda t: bytes(map(BYTE_OF.__getitem__, t)) if all(c in BYTE_OF for c in t) else t.encode()
+        self.a_bytes = [whole(self.a.names.get(i, "")) for i in range(max(self.a.names) + 1)]
         byte_of = {i: b for b, i in enumerate(self.b.byte_ids or [])}
         self.b_bytes = [bytes([byte_of[i]]) if i in byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.b.pieces)]
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
@@ -76,7 +59,7 @@ class Aligner:
             pair = None
             if text:
                 spaced = " " + text
-                a = np.array(self.a.encode_ordinary(spaced), np.int64)
+                a = self.a.plain(spaced).astype(np.int64)
                 whole = spaced.encode()
                 if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole:
                     pair = a, b.astype(np.int64)

@@ -10,7 +10,10 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Lowercase
 
+from graphloom.llm import byte_pairs as B
+from graphloom.llm import packing
 from graphloom.llm import product_codes as C
 from graphloom.llm import sentence_pieces as S
 from graphloom.llm import token_alignment as A
@@ -102,6 +105,30 @@ def test_a_difference_fails_the_batch():
         own.encode(["thorn"])
 
 
+# Byte pairs
+
+
+def test_byte_pairs_equal_the_tokenizers_library():
+    own, tok, plain = B.BytePairs(BYTES), Tokenizer.from_file(BYTES), Tokenizer.from_file(BYTES)
+    plain.encode_special_tokens = True
+    run = " " * 1_200_000  # the pattern's look-ahead took more stack than there is
+    texts = odd_texts(1000, 11) + [run, f"a{run}b", f"{run}\nb", f"{run}<|endoftext|>{run}x<|endoftext|>", "\u2003" * 20_000 + "'s", "\x1c" * 20_000 + "a", "a" * 300_000]
+    texts.append("".join(f"a{chr(c)}{chr(c)} {chr(c)}1" for c in [*range(0xD800), *range(0xE000, 0x110000, 7)]))
+    for text in texts:
+        assert own.encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text[:40])
+        assert own.plain(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:40])
+
+
+def test_other_byte_vocabularies_go_through_the_library(tmp_path):
+    tok = Tokenizer.from_file(BYTES)
+    tok.normalizer = Lowercase()
+    tok.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError, match="plain"):
+        B.BytePairs(str(tmp_path / "t.json"))
+    got = packing.token_bytes("Two WORDS", packing._Ids(str(tmp_path / "t.json")))
+    assert np.frombuffer(got, "<u4").tolist() == [*tok.encode("two words", add_special_tokens=False).ids, 0]
+
+
 # Alignment
 
 

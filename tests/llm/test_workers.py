@@ -2,6 +2,7 @@
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from public_tokenizers import path
 
@@ -47,3 +48,35 @@ def test_units_that_come_round_again_are_not_learnt_again(monkeypatch):
         for at in range(0, len(texts), 50):
             codec.encode(texts[at : at + 50])
     assert sum(learnt) == 300_000
+
+
+def held():
+    return int(next(x for x in open("/proc/self/smaps_rollup") if x.startswith("Private_Dirty")).split()[1]) / 1024
+
+
+def test_a_packing_worker_does_not_grow_with_new_words():
+    """A worker met 600,000 words and kept them, in two tables, with their ids."""
+    ids = packing._ids(tokenizer_path())
+    texts = [" ".join(f"w{k:x}q" for k in range(at, at + 1000)) for at in range(0, 700_000, 1000)]
+    packing.token_bytes(texts[0], ids)
+    common.give_back(packing._ids)
+    before = held()
+    for text in texts:
+        packing.token_bytes(text, ids)
+    common.give_back(packing._ids)
+    assert held() - before < 20
+    common.give_back()
+
+
+def test_texts_come_in_small_batches(spark):
+    """Texts of 16 MB came to a worker at once; the session's own settings are in force again afterwards."""
+    before = {k: spark.conf.get(k) for k in common.BATCH}
+
+    @F.pandas_udf("long")
+    def together(batch: pd.Series) -> pd.Series:
+        return pd.Series([batch.str.len().sum()] * len(batch))
+
+    rows = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("word "), 400).alias("text"))
+    with common.small_batches(spark):
+        most = common.written(rows.select(together("text").alias("n")), "batches").agg(F.max("n")).first()[0]
+    assert most <= 5_000_000 and {k: spark.conf.get(k) for k in common.BATCH} == before
