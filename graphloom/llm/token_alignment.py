@@ -11,7 +11,6 @@ documents by the texts' SHA-256, after a check that no two distinct texts share
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.byte_pairs import BYTE_OF, BytePairs
-from graphloom.llm.common import written
+from graphloom.llm.common import kept, small_batches, tidy, written
 from graphloom.llm.sentence_pieces import SPACE, Codec, slices
 
 #: At most so many pair counts, of the most frequent pairs, are broadcast (16 bytes each).
@@ -61,7 +60,8 @@ class Aligner:
                 spaced = " " + text
                 a = self.a.plain(spaced).astype(np.int64)
                 whole = spaced.encode()
-                if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole:
+                # Byte pairs give back any text: a sum of lengths is enough there.
+                if int(self.a_size[a].sum()) == len(whole) and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == whole:
                     pair = a, b.astype(np.int64)
             found.append(pair)
         return found
@@ -87,11 +87,12 @@ class Aligner:
             keys.append((got := _links(group_a, a, group_b, b, ~single, width))[0])
             times.append(got[1])
         pair, n = _summed(np.concatenate(keys), np.concatenate(times))
-        return len(a), len(b), len(in_a), int((in_a * in_b).sum()), groups, pair // width, pair % width, n
+        # As the columns' type: Arrow would convert each number of other arrays.
+        return len(a), len(b), len(in_a), int((in_a * in_b).sum()), groups, (pair // width).astype(np.int32), (pair % width).astype(np.int32), n.astype(np.int32)
 
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     return keys[first], np.add.reduceat(times[order], first) if len(first) else times
@@ -110,13 +111,15 @@ def _links(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarra
     return (ka[at_a] & 0xFFFFF) * width + (kb[at_b] & 0xFFFFF), ta[at_a] * tb[at_b]
 
 
-@cache
+@kept
 def aligner(a_path: str, b_path: str) -> Aligner:
+    """One for all tasks of a Python worker."""
     return Aligner(a_path, b_path)
 
 
 def _aligned(a_path: str, b_path: str):
     @F.pandas_udf(_ALIGNED)
+    @tidy(aligner)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own, none = aligner(a_path, b_path), (0, 0, 0, 0, None, [], [], [])
         for batch in batches:
@@ -153,7 +156,9 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", te
     and its distinct pairs. Repeated rows and keys are kept, each with the measures of its text; keys may be null. Equal
     counts are all best. An empty table gives an empty result; further columns are not read.
     """
-    texts = written(align_texts(docs, a_path, b_path, text).withColumn("groups", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")), "aligned")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    with small_batches(docs.sparkSession):
+        texts = written(align_texts(docs, a_path, b_path, text).withColumn("groups", digest), "aligned")
     if not texts.groupBy("sha").count().where("count > 1").isEmpty():
         raise RuntimeError("two distinct texts share a SHA-256")
     counts = written(pair_counts(texts), "counts")

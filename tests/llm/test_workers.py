@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path
 
-from graphloom.llm import common, near_copies, packing, sentence_pieces
+from graphloom.llm import common, near_copies, packing, sentence_pieces, token_alignment
 from graphloom.llm.registry import tokenizer_path
 
 
@@ -80,3 +80,17 @@ def test_texts_come_in_small_batches(spark):
     with common.small_batches(spark):
         most = common.written(rows.select(together("text").alias("n")), "batches").agg(F.max("n")).first()[0]
     assert most <= 5_000_000 and {k: spark.conf.get(k) for k in common.BATCH} == before
+
+
+def test_an_aligning_worker_gives_its_batches_back():
+    """The aligner stays known; the memory of a task's texts and rows goes back to the system, and other tasks drop the aligner."""
+    run = token_alignment._aligned(tokenizer_path(), path("piece_bpe_32k.model")).func
+    own = token_alignment.aligner(tokenizer_path(), path("piece_bpe_32k.model"))
+    texts = pd.Series(["some words again " * 4000] * 60)
+    list(run(iter([texts[:5]])))
+    before = held()
+    rows = [(len(x), x.a.map(lambda v: v.dtype == "int32").all()) for x in run(iter([texts] * 3))]
+    assert sum(n for n, _ in rows) == 180 and all(narrow for _, narrow in rows)
+    assert held() - before < 20 and token_alignment.aligner(tokenizer_path(), path("piece_bpe_32k.model")) is own
+    list(near_copies.sketches.func(iter([texts[:1]])))
+    assert token_alignment.aligner.cache_info().currsize == 0
