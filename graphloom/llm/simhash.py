@@ -150,27 +150,25 @@ def checked_components(prints: DataFrame, check: Callable[[DataFrame], DataFrame
     As `component_of_prints`, but fingerprints only find the candidates: nodes whose fingerprints differ in at most
     `max_distance` bits are linked if `check`, given pairs (a, b), keeps them. Nodes may share a fingerprint. All visits
     are dealt out once; the second pass reads those that met another node, at anchors that still hold two components.
+    Fingerprints travel with the visits and are compared at the anchor: what only meets there never becomes a pair.
     """
     if max_distance > MAX_DISTANCE:
         raise ValueError(f"the covering holds up to {MAX_DISTANCE} differing bits")
     prints = prints.select("node", "fp")
+    close = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_distance
     least = homes(prints).groupBy("anchor").agg(F.min("node").alias("b"))
-    met = visits(prints).select("anchor", F.col("node").alias("a")).join(least.hint("merge"), "anchor").where("a <> b")
+    met = visits(prints).select("anchor", F.col("node").alias("a"), F.col("fp").alias("f")).join(least.hint("merge"), "anchor").where("a <> b")
     met = written(met, "met")
-
-    def close(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(prints.toDF("a", "f"), "a").join(prints.toDF("b", "g"), "b")
-        return check(pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= max_distance).select("a", "b")).toDF("u", "v")
-
-    joined = written(connected_components(close(met.select("a", "b").distinct())), "stars")
+    near = met.join(prints.toDF("b", "g"), "b").where(close).select("a", "b").distinct()
+    joined = written(connected_components(check(near).toDF("u", "v")), "stars")
     known = written(prints.join(joined, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("c")), "known")
-    placed = met.join(known.select(F.col("node").alias("a"), F.col("c").alias("u")), "a")
+    placed = written(met.join(known.select(F.col("node").alias("a"), F.col("c").alias("u")), "a"), "placed")
     mixed = placed.join(known.select(F.col("node").alias("b"), F.col("c").alias("v")), "b").where("u <> v").select("anchor").distinct()
     mixed = written(mixed, "mixed-anchors")
-    left = placed.select("anchor", "a", "u").join(mixed, "anchor")
-    right = homes(known).select("anchor", F.col("node").alias("b"), F.col("c").alias("v")).join(mixed, "anchor")
-    cross = left.hint("merge").join(right, "anchor").where("u <> v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = close(cross).unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    left = placed.select("anchor", "a", "f", "u").join(mixed, "anchor")
+    right = homes(known).select("anchor", F.col("node").alias("b"), F.col("fp").alias("g"), F.col("c").alias("v")).join(mixed, "anchor")
+    cross = left.hint("merge").join(right, "anchor").where("u <> v").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = check(cross).toDF("u", "v").unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
     return connected_components(links)
 
 

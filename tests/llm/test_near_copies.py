@@ -122,3 +122,46 @@ def test_checked_components_equal_brute_force(make):
     got = {r.node: r.component for r in S.checked_components(df, lambda pairs: pairs.where("(a + b) % 3 > 0")).collect()}
     assert [got.get(i, i) for i in range(len(prints))] == part
     assert S.checked_components(df.where("false"), lambda pairs: pairs).count() == 0
+
+
+def join_rows(spark, run):
+    """The most rows that a join makes while `run` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in _each(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most = 0
+    for e in _each(store.executionsList()):
+        if e.executionId() not in before:
+            found = store.executionMetrics(e.executionId())
+            for node in _each(store.planGraph(e.executionId()).allNodes()):
+                for m in _each(node.metrics()) if "Join" in node.name() else ():
+                    if m.name() == "number of output rows" and (said := found.get(m.accumulatorId())).isDefined():
+                        most = max(most, int(said.get().replace(",", "")))
+    return most
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_a_crowd_just_beyond_the_threshold_does_not_become_pairs(make, spark):
+    """Fingerprints that meet at anchors by thousands, but differ in six bits and more, stay out of the joins' rows."""
+    rng, crowd = random.Random(3), []
+    while len(crowd) < 900:
+        flips = frozenset(rng.sample(range(64), 5))
+        if all(len(flips & c) <= 2 for c in crowd):
+            crowd.append(flips)
+    crowd += [c ^ {rng.randrange(64)} for c in crowd[:40]]
+    base = rng.getrandbits(64)
+    prints = [base ^ sum(1 << at for at in c) for c in crowd]
+    part = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= S.MAX_DISTANCE:
+                part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+    df = make([(i, p - 2**64 if p >> 63 else p) for i, p in enumerate(prints)], "node long, fp long")
+    got = {}
+    made = join_rows(spark, lambda: got.update({r.node: r.component for r in S.checked_components(df, lambda pairs: pairs).collect()}))
+    assert [got.get(i, i) for i in range(len(prints))] == part
+    assert made <= 91 * len(prints)  # no join holds more rows than there are visits
