@@ -123,8 +123,9 @@ def _components(per: DataFrame, texts: DataFrame) -> DataFrame:
     """`node`, `component` for each row of `per` (node, n, bands, parity, fp) that is not its own component.
 
     Dense groups do not become all their pairs. The SimHash operator joins the closest sets. In bands that still hold
-    several components each set is compared with the band's smallest node first, then bands whose sets are still apart are
-    compared in full, between components only.
+    several components each set is compared with the band's center first, the node that meets most others over all bands: a
+    node at a group's edge would leave the group apart. Then bands whose sets are still apart are compared in full,
+    between components only.
     """
     sizes = per.select("node", "n", "parity")
 
@@ -135,9 +136,10 @@ def _components(per: DataFrame, texts: DataFrame) -> DataFrame:
     close = written(checked_components(per.select("node", "fp"), near), "close")
     own = written(per.select("node", "bands").join(close, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "bands"), "own")
     rows = own.select("node", "c", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("node").alias("least"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").drop("low", "high")
-    rows = written(rows.join(least, "band"), "bands")
-    stars = rows.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), "c").distinct()
+    met = rows.groupBy("band").agg(F.count("*").alias("met"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").drop("low", "high")
+    rows = written(rows.join(met, "band"), "bands")
+    central = rows.join(rows.groupBy("node").agg(F.sum("met").alias("weight")), "node").groupBy("band").agg(F.max_by("node", "weight").alias("center"))
+    stars = rows.join(central, "band").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), "c").distinct()
     stars = stars.join(own.select(F.col("node").alias("a"), F.col("c").alias("d")), "a").where("c <> d").select("a", "b")
     found = close.select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = written(connected_components(near(stars).toDF("u", "v").unionByName(found)), "stars")

@@ -165,3 +165,20 @@ def test_a_crowd_just_beyond_the_threshold_does_not_become_pairs(make, spark):
     made = join_rows(spark, lambda: got.update({r.node: r.component for r in S.checked_components(df, lambda pairs: pairs).collect()}))
     assert [got.get(i, i) for i in range(len(prints))] == part
     assert made <= 91 * len(prints)  # no join holds more rows than there are visits
+
+
+def test_nodes_at_the_edge_of_a_group_do_not_leave_it_to_pairs(make, spark, monkeypatch):
+    """The first rows share most bands of a group of near copies but are near none; the bands alone still join the group by stars."""
+    rng, word = random.Random(9), lambda: f"w{rng.randrange(3000)}"
+    base, rows = [word() for _ in range(300)], []
+    for edits in [14] * 30 + [2] * 100:
+        copy = base.copy()
+        for at in rng.sample(range(300), edits):
+            copy[at] = word()
+        rows.append((len(rows), " ".join(copy)))
+    monkeypatch.setattr(N, "checked_components", lambda prints, check: prints.select("node", F.col("node").alias("component")).where("false"))
+    df, got = make(rows, "doc_id long, text string").coalesce(1), []
+    made = join_rows(spark, lambda: got.extend(sorted(tuple(r) for r in N.near_groups(df).collect())))
+    assert got == [(k, c) for (k, _), c in zip(rows, brute_components(rows), strict=True)]
+    assert len({c for _, c in got}) == 31
+    assert made <= N.BANDS * len(rows)
