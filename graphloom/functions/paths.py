@@ -29,7 +29,8 @@ def normalize(path: Column) -> Column:
         (p == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("")), done), -1) != ".."), F.slice(done, 1, F.size(done) - 1)
     ).otherwise(F.concat(done, F.array(p)))
     out = F.array_join(F.aggregate(parts, empty, step), "/")
-    return F.when(out == "", F.lit(".")).otherwise(out)
+    # Most paths have no such part and are not taken apart.
+    return F.when(~path.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), path).when(out == "", F.lit(".")).otherwise(out)
 
 
 def join(base: Column, path: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import ancestors, base_name, depth, dir_of, is_within, join, longest_owner
-from graphloom.operators.graph import _ready
+from graphloom.operators.graph import kept
 
 #: Extensions of source files in the order in which they are tried (fixed values).
 SOURCE = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".astro", ".d.ts")
@@ -92,16 +92,15 @@ def path_mappings(configs: DataFrame) -> DataFrame:
     The first configuration with patterns on the chain of relative `extends` decides, with its own directory and base;
     the chain is a loop of joins of at most MAX_EXTENDS steps, so that cycles end.
     """
-    _ready(configs.sparkSession)
     up = F.when(F.col("extends").startswith("."), join(dir_of(F.col("path")), F.col("extends")))
     base = join(dir_of(F.col("path")), F.coalesce("base_url", F.lit(".")))
-    known = configs.dropDuplicates(["path"]).select(
+    known = kept(configs.dropDuplicates(["path"]).select(
         F.col("path").alias("at"), F.when(up.endswith(".json"), up).otherwise(F.concat(up, F.lit(".json"))).alias("up"), base.alias("base_dir"), "patterns", (F.size("patterns") > 0).alias("decides")
-    ).checkpoint()
+    ))
     state = known.where((F.col("at") == "tsconfig.json") | F.col("at").endswith("/tsconfig.json")).select(dir_of(F.col("at")).alias("dir"), "at")
     found = []
     for _ in range(MAX_EXTENDS + 1):
-        state = state.join(known, "at").checkpoint()
+        state = kept(state.join(known, "at"))
         found.append(state.where("decides").select("dir", "base_dir", "patterns"))
         state = state.where("not decides and up is not null").select("dir", F.col("up").alias("at"))
         if state.isEmpty():
@@ -230,16 +229,16 @@ def resolve_modules(imports: DataFrame, files: DataFrame, packages: DataFrame, m
     Null or empty specifiers, null paths and other languages are unresolved. Each (place, specifier) is resolved once, repeated
     imports stay apart; of packages with one name the least directory counts. State is needs x bases, a handful each.
     """
-    _ready(imports.sparkSession)
     family = F.try_element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), F.col("language"))
     spec = F.when(family == "script", F.col("specifier")).otherwise(F.trim("specifier"))
     origin = F.when(F.col("path").isNotNull(), F.when(family == "script", dir_of(F.col("path"))).when(family == "rust", F.col("path")).when(family == "go", ""))
-    rows = imports.select("id", family.alias("family"), origin.alias("origin"), spec.alias("specifier"))
+    rows = kept(imports.select("id", family.alias("family"), origin.alias("origin"), spec.alias("specifier")))
     packages = packages.where("name <> '' and dir is not null").select("name", "dir", "manager", F.filter(F.coalesce("entries", _none()), lambda e: e.isNotNull()).alias("entries"))
-    needs = rows.dropna().drop("id").distinct().checkpoint()
+    needs = kept(rows.dropna().drop("id").distinct())
     of = lambda name: needs.where(F.col("family") == name)
-    ways = _script(of("script"), packages, mappings).unionByName(_go(of("go"), packages)).unionByName(_rust(of("rust"), packages)).checkpoint()
-    tried = ways.select(*NEED, F.posexplode("bases").alias("pos", "base")).join(answers(files), ["family", "base"])
+    ways = kept(_script(of("script"), packages, mappings).unionByName(_go(of("go"), packages)).unionByName(_rust(of("rust"), packages)))
+    # The planner takes the answers for as small as the files; they never go through the driver.
+    tried = ways.select(*NEED, F.posexplode("bases").alias("pos", "base")).join(answers(files).hint("merge"), ["family", "base"])
     hits = tried.groupBy(*NEED).agg(F.min_by("target", F.struct("pos", "rank")).alias("target"))
     done = ways.select(*NEED, "outside").join(hits, NEED, "left")
     hit, outside = F.col("target"), F.when(F.col("target").isNull(), F.col("outside"))

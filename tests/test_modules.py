@@ -146,3 +146,16 @@ def test_random_script_trees(spark, seed):
     imports = [(rng.choice(sorted(files)), "javascript", rng.choice(["./", "../", "../../", "./../"]) + "/".join(word() for _ in range(rng.randint(1, 3))) + rng.choice(["", "", *M.SOURCE])) for _ in range(500)]
     want = {(p, s): probe(files, p, s) for p, _, s in imports}
     assert resolve(spark, imports, files) == want and len({v for v in want.values() if v}) > 20
+
+
+def test_answers_are_not_broadcast(spark, tmp_path):
+    # They are several rows a file, but the planner counts one: a million files came under the limit of a broadcast.
+    files = spark.createDataFrame([("a/b.ts",), ("a/c.rs",)], "path string")
+    imports = spark.createDataFrame([(1, "a/x.ts", "typescript", "./b")], "id long, path string, language string, specifier string")
+    packages = spark.createDataFrame([], "name string, dir string, manager string, entries array<string>")
+    mappings = spark.createDataFrame([], "dir string, base_dir string, patterns array<struct<prefix: string, suffix: string, star: boolean, targets: array<string>>>")
+    files.write.parquet(str(tmp_path / "files"))
+    out = M.resolve_modules(imports, spark.read.parquet(str(tmp_path / "files")), packages, mappings)
+    assert [tuple(r) for r in out.collect()] == [(1, "a/b.ts", None, None, "exact")]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [family" in plan and not any("base#" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
