@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import kept
+
 CONFIDENCES = ("exact", "likely", "ambiguous", "external", "unresolved")
 
 
@@ -82,20 +84,48 @@ def match_score(request: Column, route: Column) -> Column:
     return F.when(fits, total - F.abs(F.size(request) - F.size(route)))
 
 
+#: Routes that a request may be linked to; more that match equally well are no link.
+MAX_ROUTES = 4
+
+
 def http_links(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """Requests joined to the routes that match best: `request_id`, `route_id`, `score`, `confidence`.
 
-    Candidates share a static segment at the same place from the end, so this is an equi-join and not all pairs.
     One best route is likely, up to four are ambiguous, more are dropped.
+
+    The score of a pair follows from the two shapes, which tell from the end where a parameter stands (`*`), a static segment
+    (`s`) or null (`0`, which fits a parameter only). Routes of a shape that have the same static segments where a shape of requests has some as well are
+    one group, of which five routes tell enough; a path meets groups, not routes, so that one segment of very many paths and
+    routes makes no square. State is distinct paths x shapes of routes.
     """
     from pyspark.sql import Window
 
-    def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
-        flipped = F.reverse(F.col("segments"))
-        return df.select(key, F.col("segments").alias(name), F.posexplode(flipped).alias("place", "segment")).where("segment <> '*'")
-
-    pairs = keyed(requests, "request_id", "a").join(keyed(routes, "route_id", "b"), ["place", "segment"]).select("request_id", "route_id", "a", "b").distinct()
-    scored = pairs.withColumn("score", match_score(F.col("a"), F.col("b"))).where("score is not null")
-    best = scored.withColumn("_top", F.max("score").over(Window.partitionBy("request_id"))).where("score = _top")
-    counted = best.withColumn("_n", F.count("*").over(Window.partitionBy("request_id"))).where("_n <= 4")
-    return counted.select("request_id", "route_id", "score", F.when(F.col("_n") == 1, "likely").otherwise("ambiguous").alias("confidence"))
+    def shaped(df: DataFrame, shape: str, flipped: str) -> DataFrame:
+        kinds = F.transform(F.reverse("segments"), lambda p: F.when(p.isNull(), "0").when(p == "*", "*").otherwise("s"))
+        return df.where("segments is not null").select("*", F.array_join(kinds, "").alias(shape), F.reverse("segments").alias(flipped))
+
+    asked = kept(shaped(requests.select("segments").distinct(), "a", "x"))
+    known = kept(shaped(routes.select("route_id", "segments").distinct(), "b", "y"))
+    shapes = asked.select("a").distinct().crossJoin(known.select("b").distinct())
+    n = F.least(F.length("a"), F.length("b"))
+    both = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("i"), F.substr("a", i, F.lit(1)).alias("p"), F.substr("b", i, F.lit(1)).alias("q")))
+    gain = lambda e: F.when((e["p"] == "*") & (e["q"] == "*"), 2).when((e["p"] == "*") | (e["q"] == "*"), 1).otherwise(10)
+    places = F.transform(F.filter("both", lambda e: (e["p"] == "s") & (e["q"] == "s")), lambda e: e["i"])
+    score = F.aggregate("both", F.lit(0), lambda s, e: s + gain(e)) - F.abs(F.length("a") - F.length("b"))
+    shapes = shapes.where(n > 0).withColumn("both", both).where(~F.exists("both", lambda e: ((e["p"] == "0") & (e["q"] != "*")) | ((e["q"] == "0") & (e["p"] != "*"))))
+    shapes = kept(shapes.select("a", "b", places.alias("places"), score.alias("score")).where(F.size("places") > 0))
+
+    at = lambda flipped: F.transform("places", lambda i: F.element_at(flipped, i)).alias("static")
+    group = ["b", "places", "static"]
+    members = known.join(shapes.select("b", "places").distinct(), "b").select(*group[:2], at("y"), "route_id")
+    # The literal limit lets each task cut a group before the shuffle.
+    members = members.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("route_id"))).where(F.col("k") <= MAX_ROUTES + 1)
+    members = members.groupBy(*group).agg(F.collect_list(F.struct("route_id")).alias("found"))
+    met = asked.join(shapes, "a").select("segments", *group[:2], at("x"), "score").join(members, group)
+    top = lambda *keys: F.max("score").over(Window.partitionBy(*keys))
+    met = kept(met.select("segments", "score", "found").withColumn("_top", top("segments")).where("score = _top").drop("_top"))
+
+    pairs = requests.select("request_id", "segments").distinct().join(met, "segments")
+    best = pairs.withColumn("_top", top("request_id")).where("score = _top")
+    counted = best.withColumn("_n", F.sum(F.size("found")).over(Window.partitionBy("request_id"))).where(F.col("_n") <= MAX_ROUTES)
+    return counted.select("request_id", F.inline("found").alias("route_id"), "score", F.when(F.col("_n") == 1, "likely").otherwise("ambiguous").alias("confidence"))

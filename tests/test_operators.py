@@ -86,6 +86,37 @@ def test_http_links(spark):
     assert got == {1: (7, 11, "likely"), 2: (7, 12, "likely")}
 
 
+def test_http_links_equal_all_pairs(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(3)
+    path = lambda: [rng.choice(["a", "b", "c", "*", "*", "d", None] if rng.random() < 0.2 else ["a", "b", "*"]) for _ in range(rng.randint(0, 4))]
+    req = spark.createDataFrame([(rng.randint(1, 150), path()) for _ in range(200)] + [(500, None)], "request_id long, segments array<string>")
+    routes = spark.createDataFrame([(rng.randint(1, 60), path()) for _ in range(80)] + [(None, ["d", "a"]), (None, ["d", "*"])], "route_id long, segments array<string>")
+    pairs = req.distinct().withColumnRenamed("segments", "a").crossJoin(routes.distinct().withColumnRenamed("segments", "b")).withColumn("score", link.match_score(F.col("a"), F.col("b"))).where("score is not null")
+    one = Window.partitionBy("request_id")
+    best = pairs.withColumn("t", F.max("score").over(one)).where("score = t").withColumn("n", F.count("*").over(one)).where("n <= 4")
+    want = rows(best.select("request_id", "route_id", "score", F.when(F.col("n") == 1, "likely").otherwise("ambiguous")))
+    assert rows(link.http_links(req, routes)) == want and len(want) > 50
+
+
+def test_http_links_of_one_common_segment(spark):
+    req = spark.range(2000).select(F.col("id").alias("request_id"), F.array(F.lit("en"), F.concat(F.lit("p"), F.col("id").cast("string"))).alias("segments"))
+    routes = spark.range(1000, 3000).select(F.col("id").alias("route_id"), F.array(F.lit("en"), F.concat(F.lit("p"), F.col("id").cast("string"))).alias("segments"))
+    out = link.http_links(req, routes)
+    assert rows(out) == [(k, k, 20, "likely") for k in range(1000, 2000)]
+
+    def made(node):  # the most rows that a step of the plan that ran made
+        kind, below = node.getClass().getSimpleName(), node.children()
+        inner = [node.executedPlan()] if kind.startswith("Adaptive") else [node.plan()] if kind.endswith("QueryStageExec") else [below.apply(i) for i in range(below.size())]
+        count = node.metrics().get("numOutputRows")
+        return max([count.get().value() if count.isDefined() else 0, *map(made, inner)])
+
+    assert made(out._jdf.queryExecution().executedPlan()) <= 10_000  # 4,000,000 pairs share `en`
+
+
 def test_history_and_coupling(spark):
     cf = [(c, f) for c in range(5) for f in (1, 2)] + [(9, 1), (9, 3)] + [(c, 50 + c) for c in range(10, 20)]
     commits = spark.createDataFrame([(c, c % 2, f"2024-0{1 + c % 9}-01 00:00:00", c == 0) for c in range(20)], "commit_id long, author long, t string, ai boolean").select("commit_id", "author", F.to_timestamp("t").alias("made_at"), "ai")
