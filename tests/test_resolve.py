@@ -1,5 +1,8 @@
 """Evidence-based resolution of plain calls on hand-made facts."""
 
+import time
+
+from graphloom.operators.graph import kept
 from graphloom.operators.resolve import resolve_plain_calls
 
 
@@ -33,3 +36,15 @@ def test_tiers(spark):
         (11, "exported", 20, None, "ambiguous"),
         (12, None, None, None, "unresolved"),
     ]
+
+
+def test_kept_frames_leave_no_shuffle_files(spark, tmp_path):
+    # checkpoint() left them, and itself uncompressed, until the driver collected its garbage: twenty times the input at once.
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    out = kept(spark.range(20_000).selectExpr("id % 5000 as k", "'same text' as t").groupBy("k", "t").count())
+    until = time.time() + 10
+    while (left := disk.getAllFiles().size()) > before and time.time() < until:
+        time.sleep(0.2)
+    assert left <= before
+    assert out.count() == 5000 and all(f.endswith(".zstd.parquet") for f in out.inputFiles())
