@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import _ready
+from graphloom.operators.graph import discard, kept
 
 #: A change that this many changed functions call is a tool of all of them; the reach and size of a cluster.
 HUB_CALLERS, CLUSTER_DEPTH, CLUSTER_SIZE = 4, 3, 20
@@ -29,24 +29,24 @@ def claims(functions: DataFrame, edges: DataFrame) -> DataFrame:
     other. At most three callers lead to a function that can be claimed, so it lies within the reach of at most 40 roots and
     the state is 40 rows a function. The number of rounds is the longest chain of overlapping reaches with falling order.
     """
-    _ready(functions.sparkSession)
-    known = functions.groupBy("id").agg(F.bool_or(F.coalesce("exported", F.lit(False))).alias("exported"), F.max(F.coalesce("complexity", F.lit(0))).alias("complexity")).checkpoint()
+    known = kept(functions.groupBy("id").agg(F.bool_or(F.coalesce("exported", F.lit(False))).alias("exported"), F.max(F.coalesce("complexity", F.lit(0))).alias("complexity")))
     ids = known.select("id")
-    links = edges.select("src", "dst").where("src <> dst").distinct().join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").checkpoint()
+    links = kept(edges.select("src", "dst").where("src <> dst").distinct().join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi"))
     called = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
     hubs = called.where(F.col("n") >= HUB_CALLERS).select(F.col("id").alias("dst"))
-    down = links.join(hubs, "dst", "left_anti").select("src", "dst").checkpoint()
+    down = kept(links.join(hubs, "dst", "left_anti").select("src", "dst"))
     order = F.struct(F.col("n").isNotNull().alias("called"), (~F.col("exported")).alias("hidden"), (-F.col("complexity")).alias("simple"), F.col("id").alias("id"))
-    level = known.join(called, "id", "left").select(F.col("id").alias("root"), F.col("id").alias("node"), order.alias("rank")).checkpoint()
+    level = kept(known.join(called, "id", "left").select(F.col("id").alias("root"), F.col("id").alias("node"), order.alias("rank")))
     levels = [level]
     for _ in range(CLUSTER_DEPTH):
-        level = level.join(down, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), "rank").distinct()
+        level = kept(level.join(down, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), "rank").distinct())
         levels.append(level)
-    pairs, out = reduce(DataFrame.unionByName, levels).distinct().checkpoint(), []
+    pairs, out = kept(reduce(DataFrame.unionByName, levels).distinct()), []
+    discard(known, links, *levels[:-1])
     while not pairs.isEmpty():
         least = pairs.groupBy("node").agg(F.min("rank").alias("least"))
         ready = pairs.join(least, "node").groupBy("root").agg(F.bool_and(F.col("rank") == F.col("least")).alias("ready")).where("ready")
-        taken = ready.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("position")).checkpoint()
+        taken = kept(ready.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("position")))
         level, free = taken, pairs.where("root = node").select("node")
         for depth in range(1, CLUSTER_DEPTH + 1):
             met = level.join(down, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min("position").alias("by"))
@@ -55,11 +55,12 @@ def claims(functions: DataFrame, edges: DataFrame) -> DataFrame:
             # The literal limit lets each task cut its rows before the shuffle; the room that is left decides.
             met = met.withColumn("k", nth).where(F.col("k") < CLUSTER_SIZE)
             size = taken.groupBy("root").agg(F.max("position").alias("size"))
-            level = met.join(size, "root").select("root", "node", F.lit(depth).alias("depth"), (F.col("size") + F.col("k")).alias("position")).where(F.col("position") <= CLUSTER_SIZE).checkpoint()
+            level = kept(met.join(size, "root").select("root", "node", F.lit(depth).alias("depth"), (F.col("size") + F.col("k")).alias("position")).where(F.col("position") <= CLUSTER_SIZE))
             taken = taken.unionByName(level)
         out.append(taken)
         gone = taken.select("node")
-        pairs = pairs.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "root"), "root", "left_anti").checkpoint()
+        before, pairs = pairs, kept(pairs.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "root"), "root", "left_anti"))
+        discard(before)
     return reduce(DataFrame.unionByName, out) if out else level.select("root", "node", F.lit(0).alias("depth"), F.lit(1).alias("position"))
 
 
